@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkfold.llm import decontamination, language_id, packing, sharding
+from inkfold.llm import decontamination, language_id, packing, pii, secret_scan, sharding, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,20 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings with the forest's verdict; values as digests."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({"length": F.length("value"), "value_sha256": F.sha2("value", 256)}).drop("value")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +74,9 @@ FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN by_item USING (doc_id)
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op3_secrets": op3_secrets,
+    "op4_pii": op4_pii,
+    "op6_url_filter": op6_url_filter,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }

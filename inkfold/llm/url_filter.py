@@ -80,15 +80,17 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]] = RUL
 
 def ngrams(host: Column, path: Column, sizes: tuple[int, ...] = NGRAMS) -> Column:
     """Distinct character n-grams of the host (with its ends marked) and of the path (marked as such)."""
-    def runs(mark: str, text: Column, n: int) -> Column:
-        chars = F.split(text, "")
-        at = F.when(F.length(text) >= n, F.sequence(F.lit(0), F.length(text) - n)).otherwise(F.array().cast("array<int>"))
-        # elements by place, since substring() counts from the start of a long text each time
+    def runs(mark: str, chars: Column, n: int) -> Column:
+        at = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.concat(F.lit(mark), *[chars[i + j] for j in range(n)]))
 
+    def grams(mark: str, text: Column) -> Column:
+        # the characters are bound once, and taken by place: substring() would count from the start each time
+        chars = F.transform(F.array(F.struct(F.split(text, "").alias("c"))), lambda x: F.concat(*[runs(mark, x["c"], n) for n in sizes]))
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(chars[0])
+
     texts = [("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", path)]
-    found = [runs(mark, text, n) for mark, text in texts for n in sizes]
-    return F.array_distinct(F.concat(*found))
+    return F.array_distinct(F.concat(*[grams(mark, text) for mark, text in texts]))
 
 
 def labelled(spark: SparkSession) -> DataFrame:

@@ -80,8 +80,8 @@ def _moved(text: Column, stream: Column) -> Column:
     return F.when(text == "", text).otherwise(_text(F.transform(F.split(text, ""), one)))
 
 
-def _stream(key: Column, salt: str, of: Column) -> Column:
-    return F.sha2(F.concat(key, F.lit(f"|{salt}|"), F.lower(of)), 256)
+def _stream(key: Column, salt: Column, of: Column) -> Column:
+    return F.sha2(F.concat_ws("|", key, salt, F.lower(of)), 256)
 
 
 def _round(k: int, move, salt: Column):
@@ -96,7 +96,7 @@ def _round(k: int, move, salt: Column):
     return odd if k % 2 else even
 
 
-def permuted(text: Column, key: Column, salt: str) -> Column:
+def permuted(text: Column, key: Column, salt: Column) -> Column:
     """A keyed permutation of texts of one shape (the classes of their characters, in order)."""
     half = (F.length(text) / 2).cast("int")
     state = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.length(text)).alias("b"))

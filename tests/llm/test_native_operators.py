@@ -77,10 +77,10 @@ def test_secrets(spark):
 
 def test_forest_on_held_out_findings(spark):
     table = secret_scan.labelled(spark).withColumn("row", F.monotonically_increasing_id())
-    model = secret_scan.train(table.where("row % 4 <> 0"))
+    model = secret_scan.train(table.where("row % 5 <> 0"))
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=secret_scan.FEATURES, outputCol="__features").transform(secret_scan.featured(table.where("row % 4 = 0")))
+    rows = VectorAssembler(inputCols=secret_scan.FEATURES, outputCol="__features").transform(secret_scan.featured(table.where("row % 5 = 0")))
     assert model.transform(rows).select(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0] > 0.97
 
 
@@ -128,6 +128,7 @@ def test_surrogates_are_a_permutation(spark):
 
 def test_keys_change_surrogates(spark):
     one = docs(spark, ["a.longer.name@host.org"])
+    assert pii.redact(one, "k1").first().text == pii.redact(one, "k1").first().text
     assert pii.redact(one, "k1").first().text != pii.redact(one, "k2").first().text
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkfold.llm import decontamination, language_id, packing, pii, secret_scan, sharding, url_filter
+from inkfold.llm import decontamination, language_id, near_dedup, packing, pii, secret_scan, sharding, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_secrets": op3_secrets,
     "op4_pii": op4_pii,
+    "op5_near_dedup": op5_near_dedup,
     "op6_url_filter": op6_url_filter,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,

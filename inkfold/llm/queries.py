@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkfold.llm import decontamination, language_id, near_dedup, packing, pii, secret_scan, sharding, url_filter
+from inkfold.llm import ann, decontamination, language_id, near_dedup, packing, pii, secret_scan, sharding, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_near_dedup": op5_near_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_ann": op7_ann,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }

@@ -13,7 +13,6 @@ each get a row; repeated items with one id count once. Extra columns are ignored
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,6 +210,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     return found.select("doc_id", "n_words", "items", "hits")
 
 
+def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """documents without those that hold an occurrence of a benchmark window; all their columns.
+
+    Rows are known by a digest of their text, so rows that share an id are judged by their own texts.
+    """
+    digest = F.xxhash64("text")
+    keyed = documents.select(digest.alias("doc_id"), "text")
+    hit = contamination(keyed, benchmark).where(F.size("hits") > 0).select(F.col("doc_id").alias("__hit")).distinct()
+    return documents.withColumn("__digest", digest).join(hit, F.col("__digest") == F.col("__hit"), "left_anti").drop("__digest")
+
+
 def contamination_report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = contamination(documents, benchmark)

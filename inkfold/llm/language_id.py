@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 #: Documents of a language that its dictionary is cut from, at most, and characters of each: the bounded sample.
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 512
@@ -93,16 +94,32 @@ def classify(documents: DataFrame, dictionaries: dict[str, bytes], min_margin: f
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(dictionaries, min_margin).judge
         for batch in batches:
-            judged = list(zip(*(judge(t.as_py()) for t in batch.column("text")))) or [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, f.type) for c, f in zip(judged, list(PREDICTED)[2:]))],
-                schema=PREDICTED,
-            )
+            judged = _judged(judge, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *judged], schema=PREDICTED)
 
     held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), held, "text").mapInArrow(predict, PREDICTED_DDL)
 
 
+def _judged(judge, texts: pa.Array) -> list[pa.Array]:
+    rows = list(zip(*(judge(t.as_py()) for t in texts))) or [[]] * 4
+    return [pa.array(c, f.type) for c, f in zip(rows, list(PREDICTED)[2:])]
+
+
+def labelled_documents(documents: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """documents without those that are rejected, with the predicted language as lang; all their columns."""
+    dictionaries = train(documents.where(fold(F.col("doc_id")) != 2))
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(dictionaries, min_margin).judge
+        for batch in batches:
+            lang, _, _, rejected = _judged(judge, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lang, rejected], names=[*batch.schema.names, "__lang", "__rejected"])
+
+    noted = documents.mapInArrow(predict, StructType([*documents.schema.fields, StructField("__lang", StringType()), StructField("__rejected", BooleanType())]))
+    return noted.where("not __rejected").select(*[F.col("__lang").alias(c) if c == "lang" else F.col(f"`{c}`") for c in documents.columns])
+
+
 def identify(documents: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
     """Dictionaries from the documents outside the held-out fold, then a verdict for every document."""
     return classify(documents, train(documents.where(fold(F.col("doc_id")) != 2)), min_margin)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from inkfold.llm.common import stored, words_of
 from inkfold.llm.components import components
@@ -261,7 +262,7 @@ def keep_one(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """documents with one row of each class: the one of the least doc_id. Rows without words stay."""
     rows = stored(classes(documents, threshold), "classes").where("node is not null")
     kept = rows.groupBy("class_node").agg(F.min(F.struct("doc_id", "node")).alias("k")).select(F.col("k.node").alias("__node"), F.col("k.doc_id").alias("__kept"))
-    schema = documents.schema.add("__node", "bigint")
+    schema = StructType([*documents.schema.fields, StructField("__node", LongType())])
     noted = documents.mapInArrow(_with_node, schema)
     one = noted.where("__node is not null").join(kept, "__node").where("doc_id <=> __kept").dropDuplicates(["__node"])
     return one.select(*documents.columns).unionByName(noted.where("__node is null").select(*documents.columns))

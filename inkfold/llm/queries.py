@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkfold.llm import ann, decontamination, language_id, near_dedup, packing, pii, secret_scan, sharding, url_filter
+import corpus_pipeline
+from inkfold.llm import ann, decontamination, language_id, near_dedup, packing, pii, secret_scan, sharding, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,10 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -87,11 +92,14 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_ann": op7_ann,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     "op1_sharding": sharding.oracle("documents", "doc_id"),
     "op9_decontamination": OP9_SQL,
 }

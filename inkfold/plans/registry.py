@@ -9,10 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfold.plans import storage_queries
+from inkfold.plans import news_queries, storage_queries
 
-FLAGSHIP = "storage_entry_list"
-MODULES = [storage_queries]
+FLAGSHIP = "news_keyword_matrix"
+MODULES = [news_queries, storage_queries]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

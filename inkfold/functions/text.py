@@ -29,9 +29,12 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
-@F.pandas_udf("string")
-def _composed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+def _composed(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    return compose(text)
 
 
 def normalize_text(text: Column, compose: bool = True) -> Column:

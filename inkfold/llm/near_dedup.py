@@ -8,9 +8,10 @@ candidates: 25 bands of 5 miss a pair of similarity 0.8 once in 20,000.
 
 Copies (equal word sequences) are one node from the start. In each bucket all members are paired with the bucket's most
 connected member, not with each other. Pairs whose signatures may reach the threshold are verified on their shingle sets
-(Jaccard similarity of at least 0.8). What is verified is merged by connected components, and then members that are in
-another component than most of their bucket are paired with all of it that isn't theirs; these pairs are verified too, so
-a link between two components is found wherever the bands show it, while members already merged are never paired.
+(Jaccard similarity of at least 0.8). What is verified is merged by connected components. Then each bucket that still holds
+several components is searched for links between them: its members outside its largest component are compared, on their
+sets, with all others, in tasks of bounded size that give only the links. So a link between components is found wherever
+the bands show it; members of one component are not compared again.
 
 Null and empty texts have no words; each such row is its own class. Texts of fewer than five words are one shingle. Repeated
 rows are one class. An empty table gives no rows; extra columns are ignored. Rows without doc_id get the class of their
@@ -35,8 +36,10 @@ THRESHOLD = 0.8
 REGISTERS, BANDS, ROWS = 128, 25, 5
 #: Signatures that agree less are not verified: five standard deviations below the threshold.
 LEAST_AGREEMENT = 0.62
+#: Members of a bucket that one task compares with each other or with as many; elements of their sets that are held as columns at a time.
+BLOCK, COLUMNS = 2048, 4096
 #: Words that are handled at a time, and words whose hashes a worker keeps.
-CHUNK_WORDS, CACHE = 400_000, 500_000
+CHUNK_WORDS, CACHE = 300_000, 200_000
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
 SIGNED_DDL = "doc_id bigint, node bigint, bands array<bigint>, signature binary"
@@ -188,6 +191,59 @@ def _verified(threshold: float):
     return verify
 
 
+def _linked(sets: list[np.ndarray], groups: np.ndarray, main: int, sides: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+    """Index pairs of different groups, on different sides if there are two, whose sets are similar; one at least is not of main."""
+    sizes = np.array([len(s) for s in sets])
+    odd = np.flatnonzero(groups != main)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    # elements that one set alone has are in no intersection
+    _, where, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = counts[where] > 1
+    owner, where = owner[keep], (np.cumsum(counts > 1) - 1)[where[keep]]
+    shared = np.zeros((len(odd), len(sets)), np.float32)
+    order = np.argsort(where, kind="stable")
+    owner, where = owner[order], where[order]
+    total = int(where[-1]) + 1 if len(where) else 0
+    for low in range(0, total, COLUMNS):
+        a, b = np.searchsorted(where, [low, low + COLUMNS])
+        block = np.zeros((len(sets), min(COLUMNS, total - low)), np.float32)
+        block[owner[a:b], where[a:b] - low] = 1
+        shared += block[odd] @ block.T
+    similar = shared >= threshold * (sizes[odd][:, None] + sizes[None, :] - shared)
+    similar &= groups[odd][:, None] != groups[None, :]
+    if sides.any() and not sides.all():
+        similar &= sides[odd][:, None] != sides[None, :]
+    yield from ((int(odd[x]), int(y)) for x, y in zip(*np.nonzero(similar)))
+
+
+def _across(threshold: float):
+    """Links between the components of a bucket (or of two of its blocks), from rows sorted by bucket, i, j."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(rows: list[dict]) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(r["shingles"], np.uint32) for r in rows]
+        groups, sides = np.array([r["component"] for r in rows]), np.array([r["block"] == r["i"] for r in rows])
+        return [(rows[x]["node"], rows[y]["node"]) for x, y in _linked(sets, groups, rows[0]["main"], sides, threshold)]
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for k in range(0, batch.num_rows, 1000):
+                for row in batch.slice(k, 1000).to_pylist():
+                    if held and any(held[0][c] != row[c] for c in ("bucket", "i", "j")):
+                        out += links(held)
+                        held = []
+                    held.append(row)
+            yield pairs(out)
+        yield pairs(links(held) if held else [])
+
+    def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], schema=schema)
+
+    return across
+
+
 def _with_sides(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """pairs (a, b, ...) with column of table (node, column) for both as x and y."""
     one = pairs.join(table.select(F.col("node").alias("b"), F.col(column).alias("y")), "b")
@@ -210,7 +266,7 @@ def _labelled(documents: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(members.join(sizes, "bucket"), "buckets")
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
-    ranked = stored(shared.join(degree, "node").select("bucket", "node", F.struct("degree", "node").alias("rank")), "ranked")
+    ranked = shared.join(degree, "node").select("bucket", "node", F.struct("degree", "node").alias("rank"))
     hubs = ranked.groupBy("bucket").agg(F.max("rank").alias("hub"))
     pairs = ranked.join(hubs, "bucket").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     needed = shared.select("node").distinct()
@@ -232,16 +288,19 @@ def _labelled(documents: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
         return df.join(label.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
     # then whatever the buckets show between components
-    placed = stored(part(ranked.select("bucket", "node"), "node", "component"), "placed")
+    placed = stored(part(shared.select("bucket", "node"), "node", "component"), "placed")
     kinds = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = kinds.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    odd = placed.join(main, "bucket").where("component <> main").select("bucket", "main", F.col("node").alias("b"), F.col("component").alias("cb"))
-    others = placed.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-    crossing = odd.join(others, "bucket").where("ca <> cb and (ca = main or a < b)").select("a", "b")
-    rest = part(part(near.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    left = crossing.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = verified(agreeing(left).select("a", "b"))
-    return signed.select("doc_id", "node"), components(links.unionByName(more))
+    mixed_up = kinds.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    inside = placed.join(mixed_up.select("bucket", blocks.alias("blocks"), F.col("main.component").alias("main")), "bucket")
+    inside = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
+    # members of a bucket of several blocks meet those of each other block in a task of the two
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    small = inside.where("blocks = 1").withColumn("other", F.lit(0))
+    large = inside.where("blocks > 1").withColumn("other", other)
+    met = small.unionByName(large).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "main", "shingles")
+    more = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(_across(threshold), "a bigint, b bigint")
+    return signed.select("doc_id", "node"), components(links.unionByName(more.distinct()))
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,0 +1,58 @@
+"""Names from several readings: votes, titles, and an n-gram model of spellings."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+ORDERS = 4
+#: Weight of each order in the interpolation, what is added to each count, and the size of the alphabet. Fixed values.
+LAMBDAS, ADDED, ALPHABET = (0.05, 0.15, 0.3, 0.5), 0.01, 80
+TITLES = ["นางสาว", "นาง", "นาย", "เด็กหญิง", "เด็กชาย", "ด.ญ.", "ด.ช.", "น.ส."]
+
+
+def cleaned(text: Column) -> Column:
+    """A name without lone punctuation and with single blanks."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w.rlike(r"[\p{L}\p{M}\p{Nd}]"))
+    return F.array_join(F.transform(words, lambda w: F.regexp_replace(w, r"^[|,:;'`_\-]+|[|,:;'`_\-]+$", "")), " ")
+
+
+def titled(text: Column) -> Column:
+    """text with a misread title put right: long titles within two edits, short ones within one and standing alone."""
+    word = F.substring_index(text, " ", 1)
+    best = F.array_min(F.array(*[F.struct(F.levenshtein(word, F.lit(t)).alias("d"), F.lit(t).alias("t")) for t in TITLES]))
+    fits = (best["d"] > 0) & (best["d"] <= F.when(F.length(best["t"]) >= 5, 2).otherwise(1)) & (F.abs(F.length(word) - F.length(best["t"])) <= 1) & (word != text)
+    return F.when(fits, F.concat(best["t"], F.substring(text, F.length(word) + 1, F.length(text)))).otherwise(text)
+
+
+def grams(words: DataFrame, word: str, weight: Column) -> DataFrame:
+    """gram, n, weight: counts of runs of one to four characters of words with their ends marked."""
+    text = F.concat(F.lit("^" * (ORDERS - 1)), F.col(word), F.lit("$"))
+    rows = words.select(text.alias("t"), weight.alias("w"), F.explode(F.sequence(F.lit(ORDERS), F.length(text))).alias("e"))
+    rows = rows.select("t", "w", "e", F.explode(F.array(*map(F.lit, range(1, ORDERS + 1)))).alias("n"))
+    gram = F.expr("substring(t, e - n + 1, n)")
+    return rows.groupBy(gram.alias("gram"), "n").agg(F.sum("w").alias("weight"))
+
+
+def scored(words: DataFrame, word: str, model: DataFrame) -> DataFrame:
+    """words with per_char: the mean log-probability of their characters under interpolated orders."""
+    contexts = model.groupBy(F.expr("substring(gram, 1, n - 1)").alias("context"), "n").agg(F.sum("weight").alias("total"))
+    text = F.concat(F.lit("^" * (ORDERS - 1)), F.col("word"), F.lit("$"))
+    rows = words.select(F.col(word).alias("word")).distinct().select("word", text.alias("t"), F.explode(F.sequence(F.lit(ORDERS), F.length(text))).alias("e"))
+    rows = rows.select("word", "e", F.explode(F.array(*map(F.lit, range(1, ORDERS + 1)))).alias("n"), "t")
+    rows = rows.select("word", "e", "n", F.expr("substring(t, e - n + 1, n)").alias("gram"), F.expr("substring(t, e - n + 1, n - 1)").alias("context"))
+    counted = rows.join(model.withColumnRenamed("weight", "hits"), ["gram", "n"], "left").join(contexts, ["context", "n"], "left").fillna(0, ["hits", "total"])
+    share = (F.col("hits") + ADDED) / (F.col("total") + ADDED * ALPHABET) * F.element_at(F.array(*map(F.lit, LAMBDAS)), F.col("n"))
+    places = counted.groupBy("word", "e").agg(F.log(F.sum(share)).alias("lp"))
+    return places.groupBy("word").agg(F.avg("lp").alias("per_char"))
+
+
+def voted(readings: DataFrame, key: str) -> DataFrame:
+    """key, slot, char: at each place the character of most weight; the first reader's where weights tie. Readings are aligned by place."""
+    slots = readings.select(key, "reader", "weight", F.posexplode(F.split("text", "")).alias("slot", "char"))
+    sums = slots.groupBy(key, "slot", "char").agg(F.sum("weight").alias("w"), F.min("reader").alias("first"))
+    best = sums.groupBy(key, "slot").agg(F.max_by("char", F.struct("w", -F.col("first"))).alias("char"))
+    return best.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "char"))), lambda s: s["char"]), "").alias("name"))
+
+
+def agreement(readings: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    return readings.join(names, key).groupBy(key).agg(F.first("name").alias("name"), F.avg((F.col("text") == F.col("name")).cast("int")).alias("agreement"))

@@ -61,11 +61,11 @@ lines AS (
   FROM (
     SELECT document_id, page_number, ord, b, z, running,
       CASE WHEN moves AND z > running THEN z - running ELSE r END AS r, CASE WHEN moves AND z < running THEN running - z ELSE i END AS i,
-      n_unread, n_notes + CASE WHEN moves THEN 1 ELSE 0 END AS n_notes
+      n_unread - CASE WHEN moves AND (z < running AND u_i OR z > running AND u_r) THEN 1 ELSE 0 END AS n_unread, n_notes + CASE WHEN moves THEN 1 ELSE 0 END AS n_notes
     FROM (
       SELECT *, coalesce(running IS NOT NULL AND z IS NOT NULL AND z <> running AND r IS NULL AND i IS NULL AND (b IS NULL OR b = running), false) AS moves
       FROM (
-        SELECT document_id, page_number, ord, running, n_notes + CASE WHEN v >= 0 THEN 1 ELSE 0 END AS n_notes, CASE WHEN v >= 0 THEN 0 ELSE n_unread END AS n_unread,
+        SELECT document_id, page_number, ord, running, u_i, u_r, n_notes + CASE WHEN v >= 0 THEN 1 ELSE 0 END AS n_notes, CASE WHEN v >= 0 THEN 0 ELSE n_unread END AS n_unread,
           CASE WHEN v >= 0 AND u_b THEN v ELSE b END AS b, CASE WHEN v >= 0 AND u_r THEN v ELSE r END AS r,
           CASE WHEN v >= 0 AND u_i THEN v ELSE i END AS i, CASE WHEN v >= 0 AND u_z THEN v ELSE z END AS z
         FROM (

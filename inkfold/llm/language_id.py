@@ -11,10 +11,10 @@ is `und`. Ties go to the language that sorts first. Repeated rows get a row each
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
@@ -33,7 +33,7 @@ PREDICTED = pa.schema(
     [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string())]
     + [("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())]
 )
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def fold(doc_id: Column) -> Column:

@@ -83,10 +83,11 @@ class Part:
         turned = vectors @ turn
         self.blocks = [np.ascontiguousarray(turned[:, i : i + BLOCK]) for i in range(0, turned.shape[1], BLOCK)]
 
-    def search(self, query: np.ndarray, query_id: int, turn: np.ndarray, k: int = K) -> list[tuple[int, float]]:
-        """At most k (vec_id, distance), nearest first."""
+    def search(self, query: np.ndarray, query_id: int, turn: np.ndarray, k: int = K, rows: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """At most k (vec_id, distance), nearest first, of all vectors or of those at the places `rows`."""
         dims, turned = len(query), query @ turn
-        live, partial, seen, bound = np.arange(len(self.vectors)), np.zeros(len(self.vectors)), 0, np.inf
+        live = np.arange(len(self.vectors)) if rows is None else rows
+        partial, seen, bound = np.zeros(len(live)), 0, np.inf
         for number, block in enumerate(self.blocks):
             own = block[live] if len(live) < len(block) else block
             width = own.shape[1]
@@ -114,9 +115,10 @@ def _search(turn: np.ndarray, k: int):
         out: list[tuple[int, int, float]] = []
         if left.num_rows and right.num_rows:
             matrix = lambda t: np.array(t.column("vector").to_pylist(), np.float64)
-            part = Part(matrix(left), left.column("ids").to_pylist(), turn)
-            for query_id, vector in zip(right.column("query_id").to_pylist(), matrix(right)):
-                out += [(query_id, i, d) for i, d in part.search(vector, query_id, turn, k)]
+            part, of = Part(matrix(left), left.column("ids").to_pylist(), turn), left.column("list").to_numpy()
+            for query_id, vector, probed in zip(right.column("query_id").to_pylist(), matrix(right), right.column("lists").to_pylist()):
+                rows = np.flatnonzero(np.isin(of, probed))
+                out += [(query_id, i, d) for i, d in part.search(vector, query_id, turn, k, rows)]
         return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * 3, FOUND)], schema=FOUND)
 
     return search
@@ -157,15 +159,19 @@ def search(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "ve
     least = fits.select("vector", "id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     distinct = least.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     placed = stored(distinct.mapInArrow(_dealt(centroids, 1), "vector array<double>, ids array<bigint>, lists array<int>"), "lists")
-    counts = placed.groupBy(F.col("lists")[0].alias("list")).agg(F.count("*").alias("n"))
-    parts = F.broadcast(counts.select("list", F.ceil(F.col("n") / PART).cast("int").alias("parts")))  # at most MAX_LISTS rows
-    candidates = placed.withColumn("list", F.col("lists")[0]).join(parts, "list")
-    candidates = candidates.select("list", F.pmod(F.xxhash64("vector"), F.col("parts")).cast("int").alias("part"), "vector", "ids")
+    # small lists share a part, so that a query gives k rows for each part, not for each list
+    together = max(1, PART // max(1, total // len(centroids)))
+    region = lambda of: F.floor(of / together).cast("int")
+    counts = placed.groupBy(region(F.col("lists")[0]).alias("region")).agg(F.count("*").alias("n"))
+    parts = F.broadcast(counts.select("region", F.ceil(F.col("n") / (2 * PART)).cast("int").alias("parts")))  # at most MAX_LISTS rows
+    candidates = placed.withColumn("list", F.col("lists")[0]).withColumn("region", region(F.col("list"))).join(parts, "region")
+    candidates = candidates.select("region", F.pmod(F.xxhash64("vector"), F.col("parts")).cast("int").alias("part"), "list", "vector", "ids")
     asking = fits.where(F.col("asks")).select(F.col("id").alias("query_id"), "vector")
     asking = asking.mapInArrow(_dealt(centroids, probes), "query_id bigint, vector array<double>, lists array<int>")
-    asking = asking.select("query_id", "vector", F.explode("lists").alias("list")).join(parts, "list")
-    asking = asking.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "vector")
-    found = candidates.groupBy("list", "part").cogroup(asking.groupBy("list", "part")).applyInArrow(_search(turn, k), FOUND_DDL)
+    regions = F.array_distinct(F.transform("lists", region))
+    asking = asking.select("query_id", "vector", "lists", F.explode(regions).alias("region")).join(parts, "region")
+    asking = asking.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "vector", "lists")
+    found = candidates.groupBy("region", "part").cogroup(asking.groupBy("region", "part")).applyInArrow(_search(turn, k), FOUND_DDL)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

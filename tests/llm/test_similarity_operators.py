@@ -149,3 +149,48 @@ def test_chains_equal_brute_force():
         cost = lambda c: sum(substring_dedup.GAP_COST * (q[0] - p[0] + q[1] - p[1]) for p, q in zip(c, c[1:]))
         assert max(len(c) * substring_dedup.K - cost(c) for c in chains) == pytest.approx(best)
         assert sorted(s for c in chains for s in c) == seeds
+
+
+def uncovered(texts, rows):
+    """Runs of MIN_WORDS words that another text has too and that no row covers."""
+    n, holders = substring_dedup.MIN_WORDS, collections.defaultdict(set)
+    words = [words_of(t) for t in texts]
+    for i, own in enumerate(words):
+        for at in range(len(own) - n + 1):
+            holders[tuple(own[at : at + n])].add(i)
+    spans = collections.defaultdict(list)
+    for r in rows:
+        spans[r.doc_id].append((r.start, r.end))
+        spans[r.other_doc_id].append((r.other_start, r.other_end))
+        same = sum(a == b for a, b in zip(words[r.doc_id][r.start : r.end], words[r.other_doc_id][r.other_start : r.other_end]))
+        assert r.identity < 1 or same == r.end - r.start == r.other_end - r.other_start
+    return [
+        (i, at) for i, own in enumerate(words) for at in range(len(own) - n + 1)
+        if len(holders[tuple(own[at : at + n])]) > 1 and not any(low <= at and at + n <= high for low, high in spans[i])
+    ]
+
+
+@pytest.mark.parametrize("block", [600, 1_000_000])
+def test_passages_of_frequent_lines_and_overlapping_excerpts(spark, monkeypatch, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", block)
+    monkeypatch.setattr(substring_dedup, "RUN_WORDS", block, raising=False)
+    rng = random.Random(5)
+    lines = [made(rng, 15) for _ in range(4)]
+    source = made(rng, 400)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    bodies = [fresh(60) + line + fresh(60) for line in lines for _ in range(12)]  # each line in other texts
+    bodies += [fresh(60) + sum(lines, []) + fresh(60) for _ in range(4)]
+    bodies += [fresh(30) + source[at : at + rng.randint(45, 120)] + fresh(30) for at in range(0, 280, 13)]
+    twice = made(rng, 46)
+    bodies += [twice + fresh(60) + twice, fresh(60) + twice]  # the first text has it again
+    rng.shuffle(bodies)
+    texts = [" ".join(b) for b in bodies]
+    assert uncovered(texts, substring_dedup.passages(docs(spark, texts)).collect()) == []
+
+
+def test_exact_parts_of_a_chain_that_differs_too_much():
+    one, two = ([f"{p}{i}" for i in range(50)] for p in "ab")
+    x, y = one + [f"x{i}" for i in range(30)] + two, one + [f"y{i}" for i in range(30)] + two
+    chain = [(i, i) for i in (*range(0, 44, 4), *range(80, 124, 4))]
+    assert substring_dedup.align(x, y, chain)[4] < 0.8
+    assert substring_dedup.kept(x, y, chain) == [(0, 50, 0, 50, 1.0), (80, 130, 80, 130, 1.0)]

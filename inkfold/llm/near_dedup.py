@@ -1,7 +1,7 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and verification.
 
-A document is its set of five-word shingles, weighted by 1 + ln of their number. Each shingle is a Poisson process with its
-weight as rate; every arrival falls on one of M registers and a register keeps the shingle that arrives first. A process
+A document is its set of five-word shingles, all of one weight: the threshold is on sets, and weights by number would part
+documents of which one repeats a line. Each shingle is a Poisson process with its weight as rate; every arrival falls on one of M registers and a register keeps the shingle that arrives first. A process
 ends as soon as its next arrival is later than all registers, so long documents cost about one arrival for each shingle.
 Registers agree with the documents' probability Jaccard similarity, and documents that agree on a whole band are
 candidates: 25 bands of 5 miss a pair of similarity 0.8 once in 20,000.
@@ -140,8 +140,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts in _chunks(batches):
-        who, value, count = shingle_sets(texts)
-        kept = prob_minhash(who, value, 1 + np.log(count), len(texts))
+        who, value, _ = shingle_sets(texts)
+        kept = prob_minhash(who, value, np.ones(len(who)), len(texts))
         keys, short = band_keys(kept), (kept & np.uint64(255)).astype(np.uint8)
         some = [bool(w) for w in texts]
         columns = [

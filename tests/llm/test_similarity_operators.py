@@ -3,6 +3,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,13 @@ def test_exact_parts_of_a_chain_that_differs_too_much():
     chain = [(i, i) for i in (*range(0, 44, 4), *range(80, 124, 4))]
     assert substring_dedup.align(x, y, chain)[4] < 0.8
     assert substring_dedup.kept(x, y, chain) == [(0, 50, 0, 50, 1.0), (80, 130, 80, 130, 1.0)]
+
+
+def test_repeated_line_keeps_the_signature():
+    rng = random.Random(4)
+    line, rest = made(rng, 18), made(rng, 54)
+    texts = [" ".join(rest + line * n) for n in (2, 50)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1], "text": texts})
+    (signed,) = near_dedup._sign(iter([batch]))
+    assert jaccard(*map(words_of, texts)) == 1
+    assert signed.column("bands")[0] == signed.column("bands")[1] and signed.column("signature")[0] == signed.column("signature")[1]

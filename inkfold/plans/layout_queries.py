@@ -13,7 +13,7 @@ EDGES_SQL = "[" + ", ".join(repr(e) for e in FORM_EDGES) + "]"
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes from lineitem: a page for each supplier, x from the part, y from the order."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_suppkey % 4 = 0")
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return items.select(
         F.col("l_suppkey").alias("page"), F.row_number().over(_order()).cast("bigint").alias("ord"), (F.col("l_partkey") % 2300).cast("double").alias("cx"), (F.col("l_orderkey") % 1500).cast("double").alias("cy"),
         (F.col("l_quantity") + 10).alias("height"), F.col("l_partkey").cast("string").alias("text"),
@@ -30,8 +30,12 @@ BOXES = """(SELECT l_suppkey AS page, row_number() OVER (PARTITION BY l_suppkey
   CAST(l_partkey % 2300 AS DOUBLE) AS cx, CAST(l_orderkey % 1500 AS DOUBLE) AS cy, l_quantity + 10 AS height, CAST(l_partkey AS VARCHAR) AS text FROM lineitem WHERE l_suppkey % 4 = 0)"""
 
 
+#: The pages that BOXES has; queries without SQL take all.
+IN_SQL = "page % 4 = 0"
+
+
 def box_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = boxes(spark, sf_dir).withColumn("col", layout.interval_of(F.array(*map(F.lit, FORM_EDGES)), F.col("cx")))
+    placed = boxes(spark, sf_dir).where(IN_SQL).withColumn("col", layout.interval_of(F.array(*map(F.lit, FORM_EDGES)), F.col("cx")))
     role = layout.role_of(F.lit(layout.FORMS[0][0]), F.col("col"))
     return placed.select("page", "ord", "col", role.alias("role"), layout.is_anchor(role, F.col("text")).alias("anchor"))
 
@@ -62,7 +66,7 @@ def line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    centres = boxes(spark, sf_dir).select("page", "cy").distinct().withColumns({"top": F.lit(-50.0), "bottom": F.lit(2000.0)})
+    centres = boxes(spark, sf_dir).where(IN_SQL).select("page", "cy").distinct().withColumns({"top": F.lit(-50.0), "bottom": F.lit(2000.0)})
     return layout.row_edges(centres, ["page"]).select("page", F.col("band").cast("int").alias("band"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from difflib import SequenceMatcher
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ORDERS = 4
@@ -46,12 +49,33 @@ def scored(words: DataFrame, word: str, model: DataFrame) -> DataFrame:
     return places.groupBy("word").agg(F.avg("lp").alias("per_char"))
 
 
+def vote(readings: list[tuple[float, str]]) -> str:
+    """The characters of most weight (weight, text): readings are aligned to the first, with votes on its places and on the gaps between."""
+    base = readings[0][1]
+    slots, gaps = [Counter() for _ in base], [Counter() for _ in range(len(base) + 1)]
+    for weight, text in readings:
+        inserted = {}
+        for tag, i, j, k, m in SequenceMatcher(None, base, text, autojunk=False).get_opcodes():
+            if j - i == m - k:  # equal, or replaced one by one
+                for n in range(j - i):
+                    slots[i + n][text[k + n]] += weight
+                continue
+            for n in range(i, j):
+                slots[n][""] += weight
+            if m > k:
+                inserted[j if tag == "replace" else i] = text[k:m]
+        for n, gap in enumerate(gaps):
+            gap[inserted.get(n, "")] += weight
+    # of equal weights the first counts
+    best = [c.most_common(1)[0][0] for pair in zip(gaps, slots) for c in pair]
+    return "".join(best) + gaps[-1].most_common(1)[0][0]
+
+
 def voted(readings: DataFrame, key: str) -> DataFrame:
-    """key, slot, char: at each place the character of most weight; the first reader's where weights tie. Readings are aligned by place."""
-    slots = readings.select(key, "reader", "weight", F.posexplode(F.split("text", "")).alias("slot", "char"))
-    sums = slots.groupBy(key, "slot", "char").agg(F.sum("weight").alias("w"), F.min("reader").alias("first"))
-    best = sums.groupBy(key, "slot").agg(F.max_by("char", F.struct("w", -F.col("first"))).alias("char"))
-    return best.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "char"))), lambda s: s["char"]), "").alias("name"))
+    """key, name: the vote of a name's readings, the first reader's before the others. Null readings don't vote."""
+    ranked = readings.where("text is not null").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("reader", F.col("weight").cast("double").alias("weight"), "text"))).alias("readings"))
+    name = F.udf(lambda rows: vote([(r["weight"], r["text"]) for r in rows]), "string", useArrow=True)
+    return ranked.select(key, name("readings").alias("name"))
 
 
 def agreement(readings: DataFrame, names: DataFrame, key: str) -> DataFrame:

@@ -1,3 +1,4 @@
+from inkfold.operators import names
 from inkfold.plans import layout_queries
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -7,3 +8,10 @@ def test_line_clusters_take_all_pages(spark):
     items = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").groupBy("l_suppkey").count().collect()
     rows = layout_queries.line_clusters(spark, SF_DIR).collect()
     assert sorted((r.page, r.n) for r in rows) == sorted((r[0], r[1]) for r in items)
+
+
+def test_votes_align_inserted_and_missing_characters(spark):
+    cases = {"bcd": ["abcd", "bcd", "bcd"], "abcd": ["abcd", "abcd", "bcd"], "axbcd": ["abcd", "axbcd", "axbcd"], "abcde": ["abcd", "abcde", "abcde"], "aXYZd": ["abcd", "aXYZd", "aXYZd"], "": ["", "", "x"], "ab": ["ab", "", "abc"]}
+    rows = [(name, n, 1.0, text) for name, readings in cases.items() for n, text in enumerate(readings)]
+    got = names.voted(spark.createDataFrame([*rows, ("ab", 3, 9.0, None)], "key string, reader int, weight double, text string"), "key").collect()
+    assert {r.key: r.name for r in got} == {k: k for k in cases}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkfold.functions.cells import arabic
@@ -35,6 +37,34 @@ def aligned(key: DataFrame, got: DataFrame, page: list[str], signature: str, ord
     return numbered(key, "key").join(numbered(got, "got"), [*page, signature, "__n"], "full").drop("__n")
 
 
+def paired_in_order(key: list, got: list) -> list[tuple[int | None, int | None]]:
+    """Places (in key, in got) of two signature sequences, aligned in order; blocks that differ are paired as far as both reach."""
+    out: list[tuple[int | None, int | None]] = []
+    for _, i, j, k, m in SequenceMatcher(None, key, got, autojunk=False).get_opcodes():
+        n = min(j - i, m - k)
+        out += [(i + x, k + x) for x in range(n)] + [(x, None) for x in range(i + n, j)] + [(None, x) for x in range(k + n, m)]
+    return out
+
+
+def aligned_in_order(key: DataFrame, got: DataFrame, page: list[str], signature: str, order: str) -> DataFrame:
+    """Full outer pairs (key_*, got_*) of each page's rows in order, by ordered alignment of their signatures; misread rows pair too."""
+
+    def rows(df: DataFrame, side: str) -> DataFrame:
+        own = F.struct(*[F.col(c) for c in df.columns if c not in page])
+        return df.select(*page, F.struct(F.col(order).alias("o"), F.col(signature).cast("string").alias("s"), own.alias("row")).alias(f"__{side}"))
+
+    both = rows(key, "key").unionByName(rows(got, "got"), allowMissingColumns=True)
+    pages = both.groupBy(*page).agg(*[F.array_sort(F.collect_list(f"__{s}")).alias(f"__{s}") for s in ("key", "got")])
+    pairs = F.udf(lambda k, g: [{"k": x, "g": y} for x, y in paired_in_order(list(k), list(g))], "array<struct<k:int,g:int>>", useArrow=True)
+    placed = pages.withColumn("__at", F.explode(pairs(F.col("__key")["s"], F.col("__got")["s"])))
+    out = [F.col(c) for c in page]
+    for side, df, at in (("key", key, "k"), ("got", got, "g")):
+        place = F.col("__at")[at]
+        row = F.get(F.col(f"__{side}"), place)["row"]
+        out += [row[c].alias(f"{side}_{c}") for c in df.columns if c not in page] + [F.when(place.isNotNull(), True).alias(f"in_{side}")]
+    return placed.select(*out)
+
+
 def zipped(key: DataFrame, got: DataFrame, page: list[str], order: str) -> DataFrame:
     """Pairs by place on the page; what one side has more is left out."""
     n = F.row_number().over(Window.partitionBy(*page).orderBy(order))

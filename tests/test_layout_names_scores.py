@@ -1,4 +1,4 @@
-from inkfold.operators import names
+from inkfold.operators import names, scoring
 from inkfold.plans import layout_queries
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -15,3 +15,16 @@ def test_votes_align_inserted_and_missing_characters(spark):
     rows = [(name, n, 1.0, text) for name, readings in cases.items() for n, text in enumerate(readings)]
     got = names.voted(spark.createDataFrame([*rows, ("ab", 3, 9.0, None)], "key string, reader int, weight double, text string"), "key").collect()
     assert {r.key: r.name for r in got} == {k: k for k in cases}
+
+
+def test_misread_and_moved_rows_are_aligned_in_order(spark):
+    ddl = "page int, sig string, ord int, name string"
+    key = [(1, s, i, s) for i, s in enumerate("abcde")] + [(2, "a", 0, "a"), (2, "b", 1, "b"), (None, "q", 0, "q")]
+    got = [(1, s, i, "c" if s == "X" else s) for i, s in enumerate("abXef")] + [(2, "b", 0, "b"), (2, "a", 1, "a"), (None, "q", 0, "q")]
+    pairs = scoring.aligned_in_order(spark.createDataFrame(key, ddl), spark.createDataFrame(got, ddl), ["page"], "sig", "ord")
+    assert {(r.page, r.key_sig, r.got_sig) for r in pairs.collect()} == {
+        (1, "a", "a"), (1, "b", "b"), (1, "c", "X"), (1, "d", None), (1, "e", "e"), (1, None, "f"),
+        (2, None, "b"), (2, "a", "a"), (2, "b", None), (None, "q", "q"),
+    }
+    (one,) = scoring.report(pairs.where("page = 1"), ["name"], ["page"]).collect()
+    assert (one.key_rows, one.got_rows, one.missing, one.extra, one.perfect, one.name_ok) == (5, 5, 1, 1, 4, 4)

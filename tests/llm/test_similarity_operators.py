@@ -189,6 +189,20 @@ def test_passages_of_frequent_lines_and_overlapping_excerpts(spark, monkeypatch,
     assert uncovered(texts, substring_dedup.passages(docs(spark, texts)).collect()) == []
 
 
+def test_line_that_a_text_repeats_gives_few_rows(spark):
+    rng = random.Random(8)
+    line, fresh = made(rng, 13), lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    bodies = [fresh(50) + line * 300 + fresh(50), fresh(20) + line * 40 + fresh(70) + line * 60, fresh(90) + line * 5, fresh(300), fresh(40) + made(rng, 60) * 3]
+    texts = [" ".join(b) for b in bodies]
+    rows = substring_dedup.passages(docs(spark, texts)).collect()
+    assert uncovered(texts, rows) == [] and len(rows) < 20
+    assert {r.doc_id for r in rows} | {r.other_doc_id for r in rows} == {0, 1, 2}
+    for r in rows:
+        if r.kind == "repeat":
+            own = words_of(texts[r.doc_id])
+            assert r.doc_id == r.other_doc_id and r.other_start < r.start and own[r.start : r.end] == own[r.other_start : r.other_end]
+
+
 def test_exact_parts_of_a_chain_that_differs_too_much():
     one, two = ([f"{p}{i}" for i in range(50)] for p in "ab")
     x, y = one + [f"x{i}" for i in range(30)] + two, one + [f"y{i}" for i in range(30)] + two

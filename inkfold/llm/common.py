@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -51,3 +53,23 @@ def dropped(df: DataFrame) -> None:
     """Delete a table of stored() that no later plan reads."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_path)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, or name with marks before it if df has such a column already (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def released() -> None:
+    """Give memory that a worker no longer uses back to the system, as it stays for later tasks of other operators."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

@@ -102,8 +102,8 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     texts += [" ".join(rng.choices(pool, k=rng.randint(0, 60))) for _ in range(60)] + [(items[3][1] + " ") * 50] + ["one two", "three"]
     docs = list(enumerate(texts))
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
-    for chars in (16_000_000, 20):
-        found = decontamination.contamination(frame(spark, texts).repartition(2), benchmark, block_chars=chars)
+    for words in (2_000_000, 8):
+        found = decontamination.contamination(frame(spark, texts).repartition(2), benchmark, block_words=words)
         got = sorted(
             (r.doc_id, r.n_words, len(r["hits"]), len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), bool(r["hits"]))
             for r in found.collect()
@@ -111,6 +111,41 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
         assert got == brute(docs, items)
 
 
+def test_proximity_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "SEGMENT_WORDS", 80)
+    monkeypatch.setattr(decontamination, "CANDIDATES", 7)
+    rng, slack = random.Random(9), 3
+    pool = [f"p{i}" for i in range(14)]
+    items = [(1, "one two three"), (2, " ".join(rng.sample(pool, 10))), (3, " ".join(rng.choices(pool, k=13))), (4, "p1 p1 p2"), (5, None)]
+    own = common.words_of(items[1][1])
+    texts = ["three x two y one", "one a b c d two three", "two three", None, " ".join(w.decode() for w in own[::-1])]
+    texts += [" ".join(w.decode() for w in own[:5]) + " x" * gap + " " + " ".join(w.decode() for w in own[5:]) for gap in (3, 4)]
+    texts += [" ".join(rng.choices(pool, k=rng.randint(0, 70))) for _ in range(50)]
+    expected = []
+    for doc_id, text in enumerate(texts):
+        words, near = common.words_of(text), set()
+        for item_id, item in items:
+            for window in decontamination.windows_of(common.words_of(item)):
+                most = len(window) + slack
+                if any(set(window) <= set(words[i : i + most]) for i in range(len(words))):
+                    near.add(str(item_id))
+        expected.append((doc_id, sorted(near)))
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    for block_words in (2_000_000, 8):
+        rows = decontamination.contamination(frame(spark, texts).repartition(2), benchmark, slack=slack, block_words=block_words).collect()
+        assert sorted((r.doc_id, r.near) for r in rows) == expected
+        assert all(set(r["items"]) <= set(r.near) for r in rows)
+
+
+def test_clean_documents_keep_rows_of_one_text_and_columns_of_any_name(spark):
+    rows = [(1, "one two three", "a", 7), (1, "fine", "b", 8), (2, "fine", None, 9), (2, None, "c", None), (None, "x one two three", "d", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row string, _row int")
+    benchmark = spark.createDataFrame([(1, "One, two; THREE", "z")], "item_id bigint, text string, doc_id string")
+    out = decontamination.clean_documents(docs, benchmark)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(rows[1:4], key=str)
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.contamination_report(frame(spark, []), none).count() == 0

@@ -7,6 +7,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +57,20 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[..., DataFrame]]:
+    """stored() for tables that are not needed beyond the block."""
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+        made.append(stored(df, name, *partition_by))
+        return made[-1]
+
+    yield keep
+    for df in made:
+        dropped(df)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """name, or name with marks before it if df has such a column already (in any case)."""
     taken = {c.lower() for c in df.columns}

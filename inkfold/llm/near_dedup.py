@@ -10,12 +10,14 @@ Copies (equal word sequences) are one node from the start. In each bucket all me
 connected member, not with each other. Pairs whose signatures may reach the threshold are verified on their shingle sets
 (Jaccard similarity of at least 0.8). What is verified is merged by connected components. Then each bucket that still holds
 several components is searched for links between them: its members outside its largest component are compared, on their
-sets, with all others, in tasks of bounded size that give only the links. So a link between components is found wherever
+sets, with all others, in tasks of bounded numbers and bytes that give only the links. So a link between components is found wherever
 the bands show it; members of one component are not compared again.
 
 Null and empty texts have no words; each such row is its own class. Texts of fewer than five words are one shingle. Repeated
-rows are one class. An empty table gives no rows; extra columns are ignored. Rows without doc_id get the class of their
-text, which is null if none of its rows has an id.
+rows are one class. Very long texts are handled whole; a task holds one such text, or a chunk of shorter ones. Ties are broken
+by the larger degree and node of a hub and by the least id of a class. An empty table gives no rows; extra columns are ignored,
+and kept by keep_one() whatever their names. Rows without doc_id get the class of their text, which is null if none of its rows
+has an id.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from inkfold.llm.common import stored, words_of
+from inkfold.llm.common import fresh_name, released, scratch, stored, words_of
 from inkfold.llm.components import components
 
 WORDS = 5
@@ -38,11 +40,13 @@ REGISTERS, BANDS, ROWS = 128, 25, 5
 LEAST_AGREEMENT = 0.62
 #: Members of a bucket that one task compares with each other or with as many; elements of their sets that are held as columns at a time.
 BLOCK, COLUMNS = 2048, 4096
+#: Bytes of the sets of such members.
+BLOCK_BYTES = 8_000_000
 #: Words that are handled at a time, and words whose hashes a worker keeps.
-CHUNK_WORDS, CACHE = 300_000, 200_000
+CHUNK_WORDS, CACHE = 150_000, 100_000
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
-SIGNED_DDL = "doc_id bigint, node bigint, bands array<bigint>, signature binary"
+SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
+SIGNED_DDL = "doc_id bigint, node bigint, size bigint, bands array<bigint>, signature binary"
 SETS = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
@@ -136,6 +140,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
+    del ids, texts
+    _HASHES.clear()
+    released()
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +152,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, short = band_keys(kept), (kept & np.uint64(255)).astype(np.uint8)
         some = [bool(w) for w in texts]
         columns = [
-            ids, [node_of(w) for w in texts],
+            ids, [node_of(w) for w in texts], np.bincount(who, minlength=len(texts)),
             [k if s else None for k, s in zip(keys, some)], [x.tobytes() if s else None for x, s in zip(short, some)],
         ]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SIGNED)], schema=SIGNED)
@@ -251,18 +258,20 @@ def _with_sides(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
 
 
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """node, class_node of each distinct word sequence, and rows: (doc_id, node) of all documents."""
-    rows, labels = _labelled(documents, threshold)
-    least = rows.join(labels, "node", "left").withColumn("class_node", F.coalesce("component", "node"))
-    return least.select("doc_id", "node", "class_node")
+    """doc_id, node, class_node of all rows; node: one for each distinct word sequence. The table is stored."""
+    with scratch() as keep:
+        rows, labels = _labelled(documents, threshold, keep)
+        least = rows.join(keep(labels, "classes-of-nodes"), "node", "left").withColumn("class_node", F.coalesce("component", "node"))
+        return stored(least.select("doc_id", "node", "class_node"), "classes")
 
 
-def _labelled(documents: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _labelled(documents: DataFrame, threshold: float, stored) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of all rows and (node, component) of the linked ones, over tables that `stored` makes."""
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = stored(source.mapInArrow(_sign, SIGNED_DDL), "signatures")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     nodes = stored(nodes, "nodes")
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(members.join(sizes, "bucket"), "buckets")
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
@@ -288,11 +297,11 @@ def _labelled(documents: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
         return df.join(label.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
     # then whatever the buckets show between components
-    placed = stored(part(shared.select("bucket", "node"), "node", "component"), "placed")
-    kinds = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed_up = kinds.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    inside = placed.join(mixed_up.select("bucket", blocks.alias("blocks"), F.col("main.component").alias("main")), "bucket")
+    placed = stored(part(shared.select("bucket", "node", "size"), "node", "component"), "placed")
+    kinds = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    mixed_up = kinds.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, 4 * F.col("size") / BLOCK_BYTES)).cast("int")
+    inside = placed.drop("size").join(mixed_up.select("bucket", blocks.alias("blocks"), F.col("main.component").alias("main")), "bucket")
     inside = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
     # members of a bucket of several blocks meet those of each other block in a task of the two
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -305,23 +314,31 @@ def _labelled(documents: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id of each row: the least doc_id of its class of near-duplicates."""
-    rows = stored(classes(documents, threshold), "classes")
-    least = rows.where("class_node is not null").groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
+    rows = classes(documents, threshold)
+    # stored, so that the join's own exchange of a large class can be split
+    least = stored(rows.where("class_node is not null").groupBy("class_node").agg(F.min("doc_id").alias("class_id")), "least")
     worded = rows.join(least, "class_node").select("doc_id", "class_id")
     return worded.unionByName(rows.where("class_node is null").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
-def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes = pa.array([node_of(words_of(t.as_py())) for t in batch.column("text")], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, "__node"])
+def _with_node(name: str):
+    def noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = pa.array([node_of(words_of(t.as_py())) for t in batch.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, name])
+
+    return noted
 
 
 def keep_one(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """documents with one row of each class: the one of the least doc_id. Rows without words stay."""
-    rows = stored(classes(documents, threshold), "classes").where("node is not null")
-    kept = rows.groupBy("class_node").agg(F.min(F.struct("doc_id", "node")).alias("k")).select(F.col("k.node").alias("__node"), F.col("k.doc_id").alias("__kept"))
-    schema = StructType([*documents.schema.fields, StructField("__node", LongType())])
-    noted = documents.mapInArrow(_with_node, schema)
-    one = noted.where("__node is not null").join(kept, "__node").where("doc_id <=> __kept").dropDuplicates(["__node"])
-    return one.select(*documents.columns).unionByName(noted.where("__node is null").select(*documents.columns))
+    node, kept_node, kept_id = (fresh_name(documents, n) for n in ("node", "kept_node", "kept_id"))
+    kept = classes(documents, threshold).where("node is not null").groupBy("class_node").agg(F.min(F.struct("doc_id", "node")).alias("k"))
+    kept = stored(kept.select(F.col("k.node").alias(kept_node), F.col("k.doc_id").alias(kept_id)), "kept")
+    schema = StructType([*documents.schema.fields, StructField(node, LongType())])
+    noted = documents.mapInArrow(_with_node(node), schema)
+    # joined by id as well, so that the rows of a very common text don't meet in one task
+    same = (F.col(node) == F.col(kept_node)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(kept_id))
+    one = noted.where(F.col(node).isNotNull()).join(kept, same).dropDuplicates([node])
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    return one.select(*columns).unionByName(noted.where(F.col(node).isNull()).select(*columns))

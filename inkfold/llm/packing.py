@@ -22,14 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from inkfold.llm.common import stored
+from inkfold.llm.common import released, stored
 
 CAPACITY = 2048
 OPEN = 512
 #: Open pieces that one task of the second round packs, on average.
 SECOND_ROUND = 100_000
 #: Cached chunks of a worker; then the cache starts anew.
-CACHE = 300_000
+CACHE = 200_000
 
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32())]
@@ -191,6 +191,8 @@ def _pack(tokenizer: str | None, capacity: int, bins: int):
             held = [r for r in rows if r[5] in opened]
             yield _batch([r for r in rows if r[5] not in opened], False)
         yield _batch(held, True)
+        ids.clear()
+        released()
 
     return pack
 

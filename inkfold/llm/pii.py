@@ -5,23 +5,32 @@ after a form of address or with a known given name) are replaced by keyed surrog
 stay letters of their script, case and kind (vowel or not) and digits stay digits, by a keyed Feistel network over the
 entity's own letters and digits. It permutes the entities of one format, so different ones stay different at any scale,
 and equal ones get equal surrogates in all documents, however they are capitalised or spaced. Card numbers keep a valid
-or invalid check digit, addresses stay in range, phone numbers keep the country code, and given names are permuted among
-those of the same gender and script. Where formats could still meet (a name from the list and a permuted one), a check
-over the distinct entities of all documents finds surrogates that fall together, and re-keys them.
+or invalid check digit, addresses stay in range, phone numbers keep the country code, and given names move along a circle of
+those of the same gender and script, whose order the key alone tells. Where formats could still meet (a name from the list and a permuted one), a check
+over the distinct entities of all documents finds surrogates that fall together, and re-keys them. The key has no default:
+who holds it can undo the surrogates, so it is the caller's secret.
 
 Everything is SQL functions on the rows where they are; only distinct entities are shuffled, pre-aggregated.
-Null texts stay null. Texts without entities are kept as they are, byte for byte. Repeated rows give repeated rows; an
-empty table gives none. Extra columns are kept; a column named n_pii is replaced.
+Null texts stay null. Texts without entities are kept as they are, byte for byte. Very long texts are searched whole. Where two
+types begin at one place, the first of PATTERNS wins; of two spellings that ignore case the lesser is the one that is checked
+for collisions. Repeated rows give repeated rows; an empty table gives none. Extra columns are kept, whatever their names; a
+column named n_pii is replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import hmac
+import secrets
 
-from inkfold.llm.common import stored
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-DEFAULT_KEY = "surrogates-1"
+from inkfold.llm.common import dropped, fresh_name, stored
+
+#: The session's setting that holds the key.
+KEY_CONF = "spark.inkfold.pii.key"
 ROUNDS = 4
+#: New keys for surrogates that fall together, at most, and re-keyed entities that a plan holds as a map.
+ATTEMPTS, IN_PLAN = 40, 2_000
 
 #: Given names by script and gender.
 GIVEN = {
@@ -147,14 +156,23 @@ def _ip(text: Column, key: Column) -> Column:
     return _let(state, lambda s: F.concat_ws(".", *parts(s["a"]), *parts(s["b"])))
 
 
-def _given(word: Column, key: Column) -> Column:
-    """A listed given name, moved within its list; null for other words."""
+def session_key(spark: SparkSession) -> str:
+    """The key that the session is set to; one is drawn for the session if it has none."""
+    key = spark.conf.get(KEY_CONF, None)
+    if not key:
+        key = secrets.token_hex(24)
+        spark.conf.set(KEY_CONF, key)
+    return key
+
+
+def _given(word: Column, key: str, attempt: Column) -> Column:
+    """A listed given name, moved on in its list, which the key has put in order; null for other words."""
     out = F.lit(None).cast("string")
     for (script, gender), names in GIVEN.items():
-        listed, n = F.split(F.lit(" ".join(names)), " "), len(names)
-        by = F.conv(F.substring(_stream(key, F.lit("given"), F.lit(script + gender)), 1, 6), 16, 10).cast("int") % (n - 1) + 1
+        circle = sorted(names, key=lambda n: hmac.digest(key.encode(), f"{script}|{gender}|{n}".encode(), "sha256"))
+        listed, n = F.split(F.lit(" ".join(circle)), " "), len(circle)
         at = F.array_position(listed, word).cast("int")
-        out = F.when(at > 0, F.element_at(listed, (at - 1 + by) % n + 1)).otherwise(out)
+        out = F.when(at > 0, F.element_at(listed, (at + attempt % (n - 1)) % n + 1)).otherwise(out)
     return out
 
 
@@ -184,24 +202,28 @@ def _parts(entity: Column, kind: Column) -> Column:
     return made.otherwise(F.array(_part(entity, kind)))
 
 
-def _replaced(part: Column, key: Column) -> Column:
+def _replaced(part: Column, key: str, attempt: Column | None) -> Column:
     text, way = part["text"], part["way"]
+    # the attempt is part of the key
+    secret, attempt = (F.lit(key), F.lit(0)) if attempt is None else (F.concat(F.lit(f"{key}#"), attempt.cast("string")), attempt)
     # a card's last digit follows from the others and from how far it was off
     body = lambda bare: F.when(way == "card", F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
     off = lambda bare, old: F.substring(bare, -1, 1).cast("int") - _luhn(old)
     last = lambda bare, old, new: F.when(way == "card", F.pmod(_luhn(new) + off(bare, old), F.lit(10)).cast("string")).otherwise(F.lit(""))
     shaped = _let(
         _let(_bare(text), lambda bare: F.struct(bare.alias("bare"), body(bare).alias("old"))),
-        lambda x: _let(permuted(x["old"], key, way), lambda new: _refilled(text, F.concat(new, last(x["bare"], x["old"], new)))),
+        lambda x: _let(permuted(x["old"], secret, way), lambda new: _refilled(text, F.concat(new, last(x["bare"], x["old"], new)))),
     )
-    named = F.coalesce(F.when(way == "name", _given(text, key)), shaped)
-    return F.when((way == "keep") | (text == ""), text).when(way == "ip", _ip(text, key)).otherwise(named)
+    named = F.coalesce(F.when(way == "name", _given(text, key, attempt)), shaped)
+    return F.when((way == "keep") | (text == ""), text).when(way == "ip", _ip(text, secret)).otherwise(named)
 
 
-def surrogate(entity: Column, key: Column) -> Column:
-    """The surrogate of an entity (as PATTERNS finds it)."""
+def surrogate(entity: Column, key: str, attempt: Column | None = None) -> Column:
+    """The surrogate of an entity (as PATTERNS finds it); attempt: how often it was re-keyed, if it was."""
+    if not key:
+        raise ValueError("surrogates need a key")
     parts = _let(type_of(entity), lambda kind: _parts(entity, kind))
-    return _text(F.transform(parts, lambda part: _replaced(part, key)))
+    return _text(F.transform(parts, lambda part: _replaced(part, key, attempt)))
 
 
 def entities(text: Column) -> Column:
@@ -216,36 +238,47 @@ def rekeyed(documents: DataFrame, key: str) -> DataFrame:
     found = documents.select(F.explode(F.array_distinct(entities(F.col("text")))).alias("entity"))
     # one row for each spelling that ignores case
     known = stored(found.groupBy(F.lower("entity").alias("entity_key")).agg(F.min("entity").alias("entity")), "entities")
-    made = stored(known.select("entity_key", "entity", F.lit(0).alias("attempt"), surrogate(F.col("entity"), F.lit(key)).alias("replacement")), "surrogates")
-    while True:
+    made = stored(known.select("entity_key", "entity", F.lit(0).alias("attempt"), surrogate(F.col("entity"), key).alias("replacement")), "surrogates")
+    dropped(known)
+    for _ in range(ATTEMPTS):
         target = F.lower("replacement").alias("target")
         shared = made.groupBy(target).agg(F.count("*").alias("n"), F.min("entity_key").alias("keeps")).where("n > 1")
         bad = made.withColumn("target", target).join(shared, "target").where("entity_key <> keeps").select("entity_key")
         bad = stored(bad, "collisions")
         if bad.isEmpty():
+            dropped(bad)
             return made.where("attempt > 0").select("entity_key", "replacement")
         again = made.join(bad.withColumn("again", F.lit(1)), "entity_key", "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
-        # the attempt is part of the key
-        new = surrogate(F.col("entity"), F.concat(F.lit(f"{key}#"), F.col("attempt").cast("string")))
-        made = stored(again.select("entity_key", "entity", "attempt", F.when(F.col("again") == 1, new).otherwise(F.col("replacement")).alias("replacement")), "surrogates")
+        new = surrogate(F.col("entity"), key, F.col("attempt"))
+        following = stored(again.select("entity_key", "entity", "attempt", F.when(F.col("again") == 1, new).otherwise(F.col("replacement")).alias("replacement")), "surrogates")
+        dropped(bad)
+        dropped(made)
+        made = following
+    raise RuntimeError(f"surrogates still fall together after {ATTEMPTS} new keys")
 
 
-def redact(documents: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def redact(documents: DataFrame, key: str) -> DataFrame:
     """documents with entities in `text` replaced and their number as n_pii."""
     changed = rekeyed(documents, key)
     columns = [c for c in documents.columns if c.lower() != "n_pii"]
+    digest, swaps, found = (fresh_name(documents, n) for n in ("digest", "swaps", "found"))
     own = documents.select(*[F.col(f"`{c}`") for c in columns])
-    swap = lambda m: surrogate(m, F.lit(key))
-    if not changed.isEmpty():
-        # texts are joined by digest to the new surrogates of their entities; only texts that hold such are shuffled with them
-        digest = F.xxhash64("text")
-        pairs = documents.select(digest.alias("__digest"), F.explode(F.array_distinct(entities(F.col("text")))).alias("entity")).distinct()
-        maps = pairs.join(changed, F.lower("entity") == F.col("entity_key")).groupBy("__digest").agg(F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("__swaps"))
-        own = own.withColumn("__digest", digest).join(maps, "__digest", "left").drop("__digest")
-        swap = lambda m: F.coalesce(F.element_at("__swaps", m), surrogate(m, F.lit(key)))
-    found, text = entities(F.col("text")), F.col("text")
-    own = own.withColumn("__found", found)
+    few = changed.limit(IN_PLAN + 1).collect()
+    if not few:
+        swap = lambda m: surrogate(m, key)
+    elif len(few) <= IN_PLAN:
+        new = F.create_map(*[F.lit(x) for r in few for x in (r["entity_key"], r["replacement"])])
+        swap = lambda m: F.coalesce(F.try_element_at(new, F.lower(m)), surrogate(m, key))
+    else:
+        # texts are joined by digest to the new surrogates of their entities; null texts are spread, as they have none
+        of = F.coalesce(F.when(F.col("text").isNotNull(), F.xxhash64("text")), F.monotonically_increasing_id())
+        pairs = documents.where("text is not null").select(of.alias(digest), F.explode(F.array_distinct(entities(F.col("text")))).alias("entity")).distinct()
+        maps = pairs.join(changed, F.lower("entity") == F.col("entity_key")).groupBy(digest).agg(F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias(swaps))
+        own = own.withColumn(digest, of).join(maps, digest, "left").drop(digest)
+        swap = lambda m: F.coalesce(F.try_element_at(F.col(swaps), m), surrogate(m, key))
+    text = F.col("text")
+    own = own.withColumn(found, entities(text))
     parts = F.split(text, ENTITY, -1)
-    woven = _text(F.flatten(F.zip_with(parts, F.transform("__found", swap), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))))
-    out = own.withColumn("text", F.when(F.size("__found") > 0, woven).otherwise(text)).withColumn("n_pii", F.size("__found"))
-    return out.select(*columns, "n_pii")
+    woven = _text(F.flatten(F.zip_with(parts, F.transform(found, swap), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))))
+    out = own.withColumn("text", F.when(F.size(found) > 0, woven).otherwise(text)).withColumn("n_pii", F.size(found))
+    return out.select(*[F.col(f"`{c}`") for c in columns], "n_pii")

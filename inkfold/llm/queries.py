@@ -28,7 +28,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

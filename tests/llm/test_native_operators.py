@@ -1,5 +1,7 @@
 import re
 
+import pytest
+import regex
 from pyspark.sql import functions as F
 
 from inkfold.llm import pii, secret_scan, url_filter
@@ -92,7 +94,7 @@ def test_surrogates_keep_type_format_and_identity(spark):
         None, "", "no entity here. Anna ran", f"x {MAILS[0]} y {MAILS[1]}, {MAILS[0]}.", "call +1 (076) 555-8046 or 19.37.233.111.",
         "card 4111 1111 1111 1111 and 4893510587609345", "Mr. John Smith met Frau Anna Müller; Иван Петров", "078-05-1120 1.2.3 12345 v1.2.3.4.5", "a@b.co b@b.co " * 3000,
     ]
-    out = pii.redact(docs(spark, texts + texts[3:4]))
+    out = pii.redact(docs(spark, texts + texts[3:4]), "k")
     assert not re.search("Python|Arrow|Pandas", plan_of(out))
     assert out.columns == ["doc_id", "text", "source", "n_pii"]
     got = {r.doc_id: r for r in out.collect()}
@@ -132,14 +134,50 @@ def test_keys_change_surrogates(spark):
     assert pii.redact(one, "k1").first().text != pii.redact(one, "k2").first().text
 
 
-def test_collisions_are_rekeyed(spark, monkeypatch):
+def shape(text):
+    """Script, kind and case of each letter, digits as digits, other characters as they are."""
+    return [next((k for k, letters in enumerate(pii.ALPHABETS) if c in letters), c) for c in text]
+
+
+def test_surrogates_equal_a_search_of_each_text(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.lit(1).alias("found"), F.lit(2).alias("digest"))
+    out = pii.redact(rows, "test").orderBy("doc_id").collect()
+    entity, to, back, listed = regex.compile(pii.ENTITY), {}, {}, set(pii._NAMES.split("|"))
+    before = {r.doc_id: r.text for r in rows.collect()}
+    assert len(out) == len(before)
+    for r in out:
+        text = before[r.doc_id] or ""
+        hits = list(entity.finditer(text))
+        assert r.n_pii == len(hits) and (r.found, r.digest) == (1, 2)
+        # what lies between entities stays, and tells where the surrogates are
+        rest = [text[a:b] for a, b in zip([0, *(m.end() for m in hits)], [*(m.start() for m in hits), len(text)])]
+        same = regex.fullmatch("(?s)" + "(.+?)".join(regex.escape(x) for x in rest), r.text or "")
+        assert same
+        for m, new in zip(hits, same.groups()):
+            assert new != m[0]
+            assert to.setdefault(m[0].lower(), new.lower()) == new.lower()
+            assert back.setdefault(new.lower(), m[0].lower()) == m[0].lower()
+            if not listed & set(m[0].split()) and "." not in m[0]:
+                assert shape(new) == shape(m[0])
+    assert len(to) > 50
+
+
+def test_a_key_is_needed(spark):
+    with pytest.raises(ValueError):
+        pii.redact(docs(spark, ["x"]), "")
+    assert pii.session_key(spark) == pii.session_key(spark) != ""
+
+
+@pytest.mark.parametrize("in_plan", [0, 100])
+def test_collisions_are_rekeyed(spark, monkeypatch, in_plan):
     # a list of one gender against permuted words can't be forced to meet; a surrogate that forgets the last letter can
     true = pii.surrogate
-    monkeypatch.setattr(pii, "surrogate", lambda e, k: F.when(k.cast("string").contains("#"), true(e, k)).otherwise(F.regexp_replace(true(e, k), "^.", "z")))
-    out = pii.redact(docs(spark, ["aa@b.co", "ea@b.co", "ia@b.co", "aa@b.co oa@b.co"])).orderBy("doc_id").collect()
+    monkeypatch.setattr(pii, "surrogate", lambda e, k, attempt=None: F.regexp_replace(true(e, k), "^.", "z") if attempt is None else true(e, k, attempt))
+    monkeypatch.setattr(pii, "IN_PLAN", in_plan)
+    out = pii.redact(docs(spark, ["aa@b.co", "ea@b.co", "ia@b.co", "aa@b.co oa@b.co"]), "k").orderBy("doc_id").collect()
     words = [w for r in out for w in r.text.split()]
     assert len(set(words)) == 4 and words[0] == words[3]
 
 
 def test_empty_table(spark):
-    assert pii.redact(docs(spark, [])).count() == 0
+    assert pii.redact(docs(spark, []), "k").count() == 0

@@ -113,6 +113,42 @@ def test_neighbours(spark):
     assert len(few) == 3
 
 
+def test_neighbours_of_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((60, 8)).tolist()
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(0, vectors[5]), (0, vectors[0]), (7, vectors[0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = ann.search(df, F.col("vec_id") == 0, k=4).collect()
+    expected = []
+    for at, (i, v) in enumerate(rows):
+        if i == 0:
+            others = sorted((float(np.sqrt(((np.array(w) - np.array(v)) ** 2).sum())), j) for n, (j, w) in enumerate(rows) if n != at)
+            expected += [(0, rank, j, round(d, 9)) for rank, (d, j) in enumerate(others[:4], 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in found) == sorted(expected)
+
+
+@pytest.mark.parametrize("clusters", [0, 300])
+def test_recall_of_neighbours(spark, clusters, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 4000)
+    monkeypatch.setattr(ann, "PART", 512)
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((20_000, 24)).astype("float32")
+    if clusters:
+        vectors = vectors * 0.4 + rng.standard_normal((clusters, 24)).astype("float32")[rng.integers(0, clusters, len(vectors))] * 2
+    table = pa.table({"vec_id": pa.array(range(len(vectors))), "embedding": pa.array(list(vectors), pa.list_(pa.float32()))})
+    rows = ann.search(spark.createDataFrame(table), F.col("vec_id") % 100 == 0).collect()
+    by = collections.defaultdict(set)
+    for r in rows:
+        by[r.query_id].add(r.vec_id)
+    hits = 0
+    matrix = vectors.astype(np.float64)
+    for q in range(0, len(vectors), 100):
+        far = ((matrix - matrix[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits += len(by[q] & set(np.argsort(far)[:10].tolist()))
+    assert hits / (10 * len(vectors) / 100) >= 0.9
+
+
 def test_passages(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 600)
     rng = random.Random(11)

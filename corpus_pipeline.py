@@ -31,7 +31,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; n_chars follows the text."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return pii.redact(docs, pii.session_key(spark)).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from inkfold.functions.cells import MONTHS, arabic, build_date
+from inkfold.functions.cells import MONTHS, SHORT_MONTHS, arabic
 from inkfold.functions.text import let, stripped
 
-#: Short month names with dots as texts write them. Fixed values.
-DOTTED_MONTHS = ["ม.ค.", "ก.พ.", "มี.ค.", "เม.ย.", "พ.ค.", "มิ.ย.", "ก.ค.", "ส.ค.", "ก.ย.", "ต.ค.", "พ.ย.", "ธ.ค."]
 ENGLISH = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 #: Hours of the zone names that mail dates may have.
 ZONES = {"UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 
-_DOTTED = "|".join(r"\s*".join(part + r"\.?" for part in m.split(".") if part) for m in DOTTED_MONTHS)
-THAI_DATE = rf"(\d{{1,2}})\s*({'|'.join(MONTHS)}|{_DOTTED})\s*(\d{{4}})"
+#: Month names in text, longest first; a stop and blanks may stand between any two of their characters.
+_NAMES = sorted([*MONTHS, *SHORT_MONTHS], key=len, reverse=True)
+THAI_DATE = r"(?<!\d)(\d{1,2})\s*(" + "|".join(r"\.?\s*".join(name) for name in _NAMES) + r")\.?\s*(\d{4}|\d{2})(?!\d)"
 
 
 def timestamp(text: Column) -> Column:
@@ -29,42 +28,44 @@ def timestamp(text: Column) -> Column:
     forms = [
         *(F.try_to_timestamp(mail, F.lit(f)) for f in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss")),
         F.when(iso.rlike(r"^\d{4}-\d\d-\d\d(T\d\d:\d\d(:\d\d(\.\d+)?)?([+-]\d\d:\d\d)?)?$"), iso.try_cast("timestamp")),
-        *(F.try_to_timestamp(t, F.lit(f)) for f in ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy/MM/dd", "dd/MM/yyyy")),
+        F.try_to_timestamp(F.regexp_extract(t, r"^[A-Za-z]{3}, (\d{1,2}/\d{1,2}/\d{4} - \d{1,2}:\d{2})$", 1), F.lit("M/d/yyyy - H:mm")),
+        *(F.try_to_timestamp(t, F.lit(f)) for f in ("d MMMM yyyy", "MMMM d, yyyy", "yyyy/M/d", "d/M/yyyy")),
     ]
     return F.coalesce(*forms)
 
 
 def from_url(url: Column) -> Column:
-    """The date in a url's path, year and month at least (the day is 1 if missing); the first valid form wins."""
+    """The date in a url's path: year, month and day, year and a month's name, or year and month (the day is then 1).
+
+    The first of these forms that gives a valid date wins.
+    """
     path = F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://[^/?#]*([^?#]*)", 1)
-    number = F.lower(F.regexp_extract(path, r"/(\d{4})/([A-Za-z]{3,9})(?:/(\d{1,2}))?(?:/|$)", 2))
-    month = None
-    for n, name in enumerate(ENGLISH, 1):
-        hit = number.isin(name, name[:3])
-        month = F.when(hit, F.lit(n)) if month is None else month.when(hit, F.lit(n))
+    named = F.array_position(F.array(*map(F.lit, ENGLISH)), F.lower(F.regexp_extract(path, r"/20\d{2}/([A-Za-z]+)/", 1)))
 
-    def day(year: Column, m: Column, d: Column) -> Column:
-        return F.try_to_date(F.concat_ws("-", year, m.cast("string"), F.when(d == "", "1").otherwise(d)), "yyyy-M-d")
+    def date(year: Column, month: Column, day: Column) -> Column:
+        return F.try_to_date(F.concat_ws("-", F.nullif(year, F.lit("")), month, day), "yyyy-M-d")
 
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(path, pattern, group)
 
-    named, digits, dashed = r"/(\d{4})/([A-Za-z]{3,9})(?:/(\d{1,2}))?(?:/|$)", r"/(\d{4})/(\d{1,2})(?:/(\d{1,2}))?(?:/|$)", r"/(\d{4})-(\d{1,2})(?:-(\d{1,2}))?(?=[/._-]|$)"
+    whole, month = r"/(20\d{2})/(\d{1,2})/(\d{1,2})(?:/|$|[.-])", r"/(20\d{2})/(\d{1,2})(?:/|$)"
     return F.coalesce(
-        F.when(month.isNotNull(), day(part(named, 1), month, part(named, 3))),
-        *(F.when(part(p, 1) != "", day(part(p, 1), part(p, 2), part(p, 3))) for p in (digits, dashed)),
+        date(part(whole, 1), part(whole, 2), part(whole, 3)),
+        F.when(named > 0, date(part(r"/(20\d{2})/[A-Za-z]+/", 1), named.cast("string"), F.lit("1"))),
+        date(part(month, 1), part(month, 2), F.lit("1")),
     )
 
 
 def thai_in_text(text: Column) -> Column:
-    """The earliest valid Buddhist date written in a text."""
+    """The earliest valid Buddhist date written in a text; years of two digits are of the 26th century."""
     t = arabic(F.coalesce(text, F.lit("")))
-    names = F.array(*map(F.lit, MONTHS)), F.array(*(F.lit(m.replace(".", "")) for m in DOTTED_MONTHS))
+    names = F.array(*map(F.lit, MONTHS)), F.array(*map(F.lit, SHORT_MONTHS))
 
     def date(hit: Column) -> Column:
-        name = F.regexp_replace(F.regexp_extract(hit, THAI_DATE, 2), r"[\s.]", "")
-        n = F.greatest(*(F.array_position(own, name) for own in names)).cast("string")
-        return build_date(F.regexp_extract(hit, THAI_DATE, 1), n, F.regexp_extract(hit, THAI_DATE, 3))
+        part = lambda n: F.regexp_extract(hit, THAI_DATE, n)
+        month = F.greatest(*(F.array_position(own, F.regexp_replace(part(2), r"[\s.]", "")) for own in names))
+        year = part(3).cast("int") + F.when(F.length(part(3)) == 2, 2500 - 543).otherwise(-543)
+        return F.try_to_date(F.format_string("%04d-%d-%d", year, month, part(1).cast("int")), "yyyy-M-d")
 
     dates = F.filter(F.transform(F.regexp_extract_all(t, F.lit(THAI_DATE), F.lit(0)), date), lambda d: d.isNotNull())
     return let(dates, lambda d: F.get(d, F.lit(0)))

@@ -8,8 +8,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from inkfold.functions.text import let, normalize_text
+from inkfold.functions.dates import within
+from inkfold.functions.text import normalize_text
 
+#: A phrase with words in brackets, an abbreviation, and Thai letters. Fixed values.
 PHRASE_AND_INNER = re.compile(r"(.{2,}?)\s+\(([^)]{2,60})\)\s*")
 ABBREVIATION = re.compile(r"[A-Z0-9]{2,6}")
 THAI = re.compile("[฀-๿]")
@@ -144,8 +146,16 @@ class Matrix:
         counts = self.totals(articles, source, text)
         return grid.join(counts, ["source", "keyword"], "left").select("kw_ord", "keyword", "source", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
 
-    def report(self, articles: DataFrame, sources: DataFrame, source: str, text: Column) -> DataFrame:
-        """keysword, ref: array of (url, count), sources in their order."""
-        rows = self.dense(articles, sources, source, text)
-        ref = F.transform(F.array_sort(F.collect_list(F.struct("source", "count"))), lambda x: F.struct(x["source"].alias("url"), x["count"].alias("count")))
+    def report(self, articles: DataFrame, sources: DataFrame, source: str, text: Column, since: Column | None = None, published: str = "published_at") -> DataFrame:
+        """keysword, ref: array of (url, count), sources in their order.
+
+        sources: source, and if it has them url, original_url (shown before url) and ord; without url the source is shown.
+        Sources that share an address stay apart. since: only articles published from then on, or without a date, count.
+        """
+        if since is not None:
+            articles = articles.where(within(F.col(published), since))
+        have = lambda c: F.nullif(F.col(c), F.lit("")) if c in sources.columns else F.lit(None).cast("string")
+        listed = sources.select("source", F.col("ord" if "ord" in sources.columns else "source").alias("ord"), F.coalesce(have("original_url"), have("url"), F.col("source").cast("string")).alias("url"))
+        rows = self.dense(articles, listed, source, text).join(listed, "source")
+        ref = F.transform(F.array_sort(F.collect_list(F.struct("ord", "source", "url", "count"))), lambda x: F.struct(x["url"].alias("url"), x["count"].alias("count")))
         return rows.groupBy("kw_ord", F.col("keyword").alias("keysword")).agg(ref.alias("ref")).select("keysword", "ref")

@@ -10,7 +10,8 @@ from inkfold.functions import dates, html
 LINKS = "array<struct<url:string,title:string,found_in:string>>"
 PAGE = f"struct<title:string,text:string,links:{LINKS},dates:array<string>,next_url:string,feeds:array<string>>"
 DOCUMENT = r"(?i)\.(pdf|docx?|xlsx?|pptx?|zip|rar|csv|rtf)($|[?#])"
-MARKUP = ["text/html", "application/xhtml+xml", "text/xml", "application/xml", "application/rss+xml", "application/atom+xml", "text/plain"]
+#: Parts of the content types that are read as pages. Fixed values.
+MARKUP = ["text/html", "application/xhtml", "text/xml", "application/xml", "application/rss", "application/atom", "text/plain"]
 
 
 def pages(df: DataFrame, link_pattern: str | None = None, url: str = "url", source: str = "html") -> DataFrame:
@@ -22,7 +23,7 @@ def pages(df: DataFrame, link_pattern: str | None = None, url: str = "url", sour
         for address, body in zip(urls, bodies):
             base = address or ""
             page = html.parsed(body)
-            rows.append((html.article_title(page), html.article_text(page), html.links(page, base, link_pattern), html.date_candidates(page), html.next_page(page, base), html.feeds(body, base)))
+            rows.append((html.article_title(page), html.article_text(page), html.links(page, base, link_pattern), html.date_candidates(page), html.next_page(page, base), html.feeds(page, base)))
         return pd.DataFrame(rows, columns=["title", "text", "links", "dates", "next_url", "feeds"])
 
     out = df.withColumn("__page", read(F.col(url), F.col(source))).drop(source)
@@ -112,14 +113,46 @@ def report_order(results: DataFrame) -> DataFrame:
     return results.orderBy(F.col("status") != "ok", "name")
 
 
-def verdict(http: Column, items: Column, error: Column) -> Column:
-    """What a survey says of a source: blocked on 401, 403 or 429, error on others, empty without items, else ok."""
+def verdict(http: Column, items: Column, error: Column, kind: Column) -> Column:
+    """What a survey says of a source: blocked on 401, 403 or 429, error on others and of a feed without items, else ok."""
     return (
         F.when(http.isin(401, 403, 429), "blocked").when(error.isNotNull() | http.isNull() | (http >= 400), "error")
-        .when(F.coalesce(items, F.lit(0)) == 0, "empty").otherwise("ok")
+        .when((kind == "rss") & (F.coalesce(items, F.lit(0)) == 0), "error").otherwise("ok")
     )
 
 
+def mismatched(kind: Column, items: Column, content_type: Column, body: Column) -> Column:
+    """Whether a source is not what its kind says: a feed that is no XML or has no items, a page that is XML."""
+    head = F.substring(F.ltrim(F.coalesce(body, F.lit(""))), 1, 200)
+    xml = F.coalesce(F.lower(content_type).contains("xml"), F.lit(False)) | head.startswith("<?xml")
+    return F.when(kind == "rss", ~xml | (F.coalesce(items, F.lit(0)) == 0)).otherwise(xml)
+
+
+def survey_summary(surveyed: DataFrame) -> DataFrame:
+    """One row over surveyed sources (kind, verdict, allowed, items, mismatch)."""
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    of = lambda v: F.col("verdict") == v
+    return surveyed.agg(
+        F.count("*").alias("total"), n(of("ok")).alias("ok"), n(of("blocked")).alias("blocked"), n(of("error")).alias("error"), n(~F.col("allowed")).alias("robots_disallow"),
+        n((F.col("kind") == "rss") & of("ok")).alias("feed_sources_ok"), F.coalesce(F.sum("items"), F.lit(0)).cast("bigint").alias("feed_items_total"), n(F.col("mismatch")).alias("parser_mismatch"),
+    )
+
+
+LISTING = "struct<title:string,anchors_total:int,candidate_links:int,sample_links:array<string>,links_matching_pattern:int,js_framework:array<string>,feeds:array<string>>"
+FEED = "struct<channel_title:string,feed_format:string,items:int,sample_titles:array<string>,has_summary:boolean>"
+
+
+def analysed_pages(df: DataFrame, url: str = "url", body: str = "html", pattern: str | None = None) -> DataFrame:
+    """df with `listing`: what a survey says of each listing page. pattern: a column of link patterns, null for none."""
+    own = F.udf(lambda u, h, p: html.analysed(h, u or "", p), LISTING, useArrow=True)
+    return df.withColumn("listing", own(F.col(url), F.col(body), F.col(pattern) if pattern else F.lit(None).cast("string")))
+
+
+def analysed_feeds(df: DataFrame, body: str = "xml") -> DataFrame:
+    """df with `feed`: what a survey says of each feed."""
+    return df.withColumn("feed", F.udf(html.analysed_feed, FEED, useArrow=True)(F.col(body)))
+
+
 def follow_pages(table: DataFrame, starts: DataFrame, max_pages: int = 3) -> DataFrame:
     """start, page, url of listings followed over a table (url, next_url), until there is no other next page."""
     level = starts.select(F.col("url").alias("start"), F.lit(1).alias("page"), "url")
@@ -132,17 +165,25 @@ def follow_pages(table: DataFrame, starts: DataFrame, max_pages: int = 3) -> Dat
 
 
 def articles(items: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Items (url, title, summary, published) joined to fetched pages: text, its source, and where the date came from.
+    """Items (url, title, title_from, summary, published, full_text) joined to fetched pages (url, title, text, published, content_type, error).
 
-    An item that links to a document, or whose page is no markup, keeps its summary. Dates: feed, then page, then url.
+    An item that links to a document, or whose page is no markup, is skipped; one that wants no full text keeps its summary.
+    A title from an anchor gives way to the page's. Dates: feed, then page, then url; the last two need a page that was read.
     """
-    page = fetched.select("url", F.col("title").alias("page_title"), "text", F.col("published").alias("page_date"), "content_type")
+    page = fetched.select("url", F.col("title").alias("page_title"), "text", F.col("published").alias("page_date"), "content_type", F.col("error").alias("page_error"), F.lit(True).alias("__got"))
     j = items.join(page, "url", "left")
-    usable = ~is_document(F.col("url")) & is_markup(F.col("content_type")) & (F.coalesce("text", F.lit("")) != "")
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    wanted = F.coalesce("full_text", F.lit(False)) & filled("url")
+    other = F.col("__got").isNotNull() & F.col("page_error").isNull() & ~is_markup(F.col("content_type"))
+    skipped = wanted & (is_document(F.col("url")) | other)
+    read = wanted & ~skipped & F.col("__got").isNotNull() & F.col("page_error").isNull()
     by_feed, by_url = dates.timestamp(F.col("published")), dates.from_url(F.col("url")).cast("timestamp")
+    by_page = F.when(read, F.col("page_date"))
     return j.select(
-        "url", F.when(F.coalesce("title", F.lit("")) == "", F.col("page_title")).otherwise(F.col("title")).alias("title"), "summary", F.when(usable, F.col("text")).alias("text"),
-        F.when(usable, "page").when(is_document(F.col("url")), "skipped").when(F.coalesce("summary", F.lit("")) != "", "summary").otherwise("none").alias("text_source"),
-        F.coalesce(by_feed, "page_date", by_url).alias("published_at"),
-        F.when(by_feed.isNotNull(), "feed").when(F.col("page_date").isNotNull(), "page").when(by_url.isNotNull(), "url_path").alias("published_at_source"),
+        "url", F.when(read & ((F.col("title_from") == "anchor") | ~filled("title")) & filled("page_title"), F.col("page_title")).otherwise(F.col("title")).alias("title"), "summary",
+        F.when(read & filled("text"), F.col("text")).alias("text"),
+        F.when(skipped, "skipped_document").when(read & filled("text"), "article").when(filled("summary"), "rss_summary").otherwise("none").alias("text_source"),
+        F.coalesce(by_feed, by_page, F.when(read, by_url)).alias("published_at"),
+        F.when(by_feed.isNotNull(), "feed").when(by_page.isNotNull(), "page").when(read & by_url.isNotNull(), "url_path").alias("published_at_source"),
+        F.when(skipped, F.when(is_document(F.col("url")), "the link is to a document").otherwise(F.concat(F.lit("content-type "), F.substring_index("content_type", ";", 1)))).when(wanted, F.col("page_error")).alias("error"),
     )

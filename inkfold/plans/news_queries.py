@@ -120,18 +120,18 @@ ARTICLE = cases("ord int, title string, summary string, body string, text string
 STAMPS = [
     (0, "Tue, 07 Oct 2025 10:20:30 GMT", "2025-10-07 10:20:30"), (1, "7 Oct 2025 10:20:30 -0400", "2025-10-07 14:20:30"), (2, "2025-10-07T10:20:30Z", "2025-10-07 10:20:30"),
     (3, "2025-10-07T10:20:30+0700", "2025-10-07 03:20:30"), (4, "2025-10-07", "2025-10-07 00:00:00"), (5, "October 7, 2025", "2025-10-07 00:00:00"),
-    (6, "7 October 2025", "2025-10-07 00:00:00"), (7, "not a date", None), (8, None, None), (9, "Wed, 08 Oct 2025 23:00:00 EDT", "2025-10-09 03:00:00"),
+    (6, "7 October 2025", "2025-10-07 00:00:00"), (10, "Mon, 09/29/2025 - 15:03", "2025-09-29 15:03:00"), (11, "2025/10/07", "2025-10-07 00:00:00"), (12, "07/10/2025", "2025-10-07 00:00:00"), (7, "not a date", None), (8, None, None), (9, "Wed, 08 Oct 2025 23:00:00 EDT", "2025-10-09 03:00:00"),
 ]
 STAMP_QUERY = (lambda spark, sf_dir: rows_df(spark, "ord int, raw string", [r[:2] for r in STAMPS]).select("ord", "raw", dates.timestamp(F.col("raw")).alias("published_at")), rows_sql("ord int, raw string, published_at timestamp", STAMPS))
 
 URL_DATES = [
     (0, "https://a.b/2026/October/x", "2026-10-01"), (1, "https://a.b/2026/6/", "2026-06-01"), (2, "https://a.b/2026/10/07/title", "2026-10-07"), (3, "https://a.b/2026/x", None),
-    (4, "https://a.b/2026/13/x", None), (5, "https://a.b/n/2026-10-07-t", "2026-10-07"), (6, None, None),
+    (4, "https://a.b/2026/13/x", None), (5, "https://a.b/n/2026-10-07-t", None), (6, None, None), (7, "https://a.b/2026/10/07.html", "2026-10-07"), (8, "https://a.b/2026/Oct/x", None), (9, "https://a.b/2026/2/31/2026/6", "2026-02-01"),
 ]
 URL_DATE = (lambda spark, sf_dir: rows_df(spark, "ord int, url string", [r[:2] for r in URL_DATES]).select("ord", "url", dates.from_url(F.col("url")).alias("day")), rows_sql("ord int, url varchar, day date", URL_DATES))
 
 THAI_DATES = [
-    (0, "เมื่อ 31 ก.พ. 2569 และ 7 ต.ค. 2569", "2026-10-07"), (1, "5 มกราคม 2568", "2025-01-05"), (2, "none", None), (3, None, None), (4, "๑๕ มี.ค. ๒๕๖๙", "2026-03-15"),
+    (0, "เมื่อ 31 ก.พ. 2569 และ 7 ต.ค. 2569", "2026-10-07"), (1, "5 มกราคม 2568", "2025-01-05"), (2, "none", None), (3, None, None), (4, "๑๕ มี.ค. ๒๕๖๙", "2026-03-15"), (5, "05 ต.ค. 69", "2026-10-05"), (6, "112 ต.ค. 2569 2 ตุลาคม 25690", None), (7, "3มค2569", "2026-01-03"),
 ]
 THAI_DATE = (lambda spark, sf_dir: rows_df(spark, "ord int, body string", [r[:2] for r in THAI_DATES]).select("ord", "body", dates.thai_in_text(F.col("body")).alias("day")), rows_sql("ord int, body varchar, day date", THAI_DATES))
 
@@ -156,7 +156,7 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TITLES_SQL = r"""
 SELECT page_id, replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS title FROM (
-SELECT page_id, CASE WHEN length(h1) >= 25 THEN h1 WHEN length(t) >= 25 THEN t ELSE h1 END AS title FROM (
+SELECT page_id, CASE WHEN length(h1) >= 25 THEN h1 WHEN length(t) > 0 THEN t ELSE h1 END AS title FROM (
   SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')) AS h1,
     trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS t FROM pages))
 """
@@ -196,7 +196,7 @@ def url_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLASSES_SQL = r"""
 SELECT page_id, regexp_matches(url, '(?i)\.(pdf|docx?|xlsx?|pptx?|zip|rar|csv|rtf)($|[?#])') AS document,
-  regexp_matches(url, '(?i)\.(css|js|json|xml|png|jpe?g|gif|svg|webp|ico|woff2?|ttf|eot|mp4|mp3|map)($|[?#])|/(themes?|static|assets|wp-content|wp-includes)/') AS asset FROM pages
+  regexp_matches(url, '(?i)\.(js|mjs|css|png|jpe?g|gif|svg|webp|avif|woff2?|ttf|eot|ico|mp[34]|zip|pdf|docx?|xlsx?)($|[?#])|/(wp-content|wp-includes|wp-json|plugins?|themes?|assets?|static|dist|build|node_modules|_next|sites/default/files|media|fonts?|img|images)/') AS asset FROM pages
 """
 
 
@@ -265,8 +265,8 @@ FROM (SELECT CASE WHEN s_suppkey % 11 = 0 THEN 'error' WHEN s_suppkey % 5 = 0 TH
   s_suppkey % 7 AS with_full_text, s_suppkey % 3 + 1 AS pages_read, s_suppkey % 97 = 0 AS cancelled FROM supplier)
 """
 
-VERDICTS = [(0, 200, 12, None, "ok"), (1, 200, 0, None, "empty"), (2, 403, None, None, "blocked"), (3, 429, None, None, "blocked"), (4, None, None, "timeout", "error"), (5, 500, None, None, "error")]
-VERDICT = (lambda spark, sf_dir: rows_df(spark, "ord int, http int, items int, error string", [r[:4] for r in VERDICTS]).select("ord", news.verdict(F.col("http"), F.col("items"), F.col("error")).alias("verdict")), rows_sql("ord int, verdict varchar", [(r[0], r[4]) for r in VERDICTS]))
+VERDICTS = [(0, 200, 12, None, "rss", "ok"), (1, 200, 0, None, "rss", "error"), (2, 403, None, None, "html", "blocked"), (3, 429, None, None, "html", "blocked"), (4, None, None, "timeout", "html", "error"), (5, 500, None, None, "html", "error"), (6, 200, None, None, "html", "ok")]
+VERDICT = (lambda spark, sf_dir: rows_df(spark, "ord int, http int, items int, error string, kind string", [r[:5] for r in VERDICTS]).select("ord", news.verdict(F.col("http"), F.col("items"), F.col("error"), F.col("kind")).alias("verdict")), rows_sql("ord int, verdict varchar", [(r[0], r[5]) for r in VERDICTS]))
 
 SITE = [("https://s.b/", "https://s.b/p2"), ("https://s.b/p2", "https://s.b/p3"), ("https://s.b/p3", "https://s.b/p3"), ("https://t.b/", "https://t.b/2"), ("https://t.b/2", None)]
 

@@ -101,14 +101,61 @@ def test_page_parts():
 
 
 def test_articles_choose_text_and_date(spark):
-    items = spark.createDataFrame(
-        [("https://a.org/1", None, "s", "Tue, 07 Oct 2025 10:20:30 GMT"), ("https://a.org/2025/10/x.pdf", "T", None, None), ("https://a.org/3", "T", "s", None)], "url string, title string, summary string, published string"
-    )
-    pages = spark.createDataFrame([("https://a.org/1", "Page", "body", None, "text/html"), ("https://a.org/3", "P", "b", None, "image/png")], "url string, title string, text string, published timestamp, content_type string")
-    rows = {r.url[-1]: r for r in news.articles(items, pages).collect()}
-    assert (rows["1"].title, rows["1"].text_source, rows["1"].published_at_source) == ("Page", "page", "feed")
-    assert (rows["f"].text_source, rows["f"].published_at_source) == ("skipped", "url_path")
-    assert (rows["3"].text_source, rows["3"].published_at) == ("summary", None)
+    ddl = "url string, title string, title_from string, summary string, published string, full_text boolean"
+    rows = [
+        ("https://a.org/1", None, "feed", "s", "Tue, 07 Oct 2025 10:20:30 GMT", True), ("https://a.org/2025/10/x.pdf", "T", "feed", None, None, True), ("https://a.org/3", "T", "feed", "s", None, True),
+        ("https://a.org/2025/10/4", "Read on", "anchor", None, None, True), ("https://a.org/5", "T", "feed", "s", None, False), ("https://a.org/6", "T", "feed", None, None, True),
+    ]
+    pages = spark.createDataFrame(
+        [("https://a.org/1", "Page", "body", None, "text/html", None), ("https://a.org/3", "P", "b", None, "image/png; x", None), ("https://a.org/2025/10/4", "Long", "text", None, None, None), ("https://a.org/6", None, None, None, None, "blocked: 403")],
+        "url string, title string, text string, published timestamp, content_type string, error string",
+    )
+    got = {r.url[-1]: r for r in news.articles(spark.createDataFrame(rows, ddl), pages).collect()}
+    assert (got["1"].title, got["1"].text_source, got["1"].published_at_source, got["1"].error) == ("Page", "article", "feed", None)
+    assert (got["f"].text_source, got["f"].published_at_source, got["f"].text) == ("skipped_document", None, None)
+    assert (got["3"].text_source, got["3"].title, got["3"].published_at, got["3"].error) == ("skipped_document", "T", None, "content-type image/png")
+    assert (got["4"].title, got["4"].published_at_source, got["4"].published_at.month) == ("Long", "url_path", 10)
+    assert (got["5"].text_source, got["5"].text) == ("rss_summary", None)
+    assert (got["6"].text_source, got["6"].error) == ("none", "blocked: 403")
+
+
+def test_pages_that_try_to_fail_a_task():
+    deep = '<script type="application/ld+json">' + '{"a":' * 20000 + "1" + "}" * 20000 + "</script><p>text</p>"
+    page = html.parsed(deep)
+    assert html.date_candidates(page) == [] and html.article_text(page) == "text"
+    broken = html.parsed('<a href="http://[x">a</a><a href="/news/some-long-enough-path">b</a><![bad')
+    assert html.links(broken, "http://[x") == [] and html.next_page(broken, "http://[x") is None and html.feeds(broken, "http://[x") == []
+    assert [x["url"] for x in html.links(broken, "https://a.org/")] == ["https://a.org/news/some-long-enough-path"]
+    assert html.feed_items("<rss>" + "<a>" * 5000) == []
+
+
+def test_page_rules():
+    label = lambda t: html.next_page(html.parsed(f'<a href="/x">no</a><a href="/p2">{t}</a>'), "https://e.org/news")
+    assert {label(t) for t in ("Next", "ถัดไป", "หน้าต่อไป", "→", "next &gt;", "›")} == {"https://e.org/p2"}
+    assert label("What comes next for drug policy") is None
+    meta = lambda *m: html.date_candidates(html.parsed("".join(f'<meta {k}="{v}" content="{c}">' for k, v, c in m)))
+    assert meta(("property", "og:updated_time", "9"), ("name", "dcterms.date", "2"), ("name", "dcterms.issued", "1"), ("itemprop", "datePublished", "3"), ("name", "dcterms.modified", "8")) == ["1", "2", "3", "9", "8"]
+    body = lambda inner: [x["url"] for x in html.links(html.parsed(inner), "https://example.org/en/news")]
+    first = "/en/alert-recall/first-story"
+    assert body(f'<div role="search"><a href="/en/some-very-long-menu-path">m</a></div><a href="{first}">f</a>') == [f"https://example.org{first}"]
+    assert body(f'<div role="complementary"><a href="{first}">f</a></div>') == [f"https://example.org{first}"]
+    assert body("<script>var a = {\"u\": \"\\/en\\/alert-recall\\/from-json\", 'v': '/en/alert-recall/in-single-quotes', \"w\": \"/wp-content/plugins/some-plugin/story\"}</script>") == ["https://example.org/en/alert-recall/from-json"]
+    small, large = "เกริ่น " * 3, "เนื้อข่าวจริงยาวกว่ามาก " * 20
+    assert html.article_text(html.parsed(f"<body><article>{small}</article><main>{large}</main></body>")) == large.strip()
+    assert html.article_title(html.parsed("<h1>United Nations</h1><h1>หัวข้อข่าวจริงที่ยาวกว่าและเจาะจงกว่ามาก</h1>")) == "หัวข้อข่าวจริงที่ยาวกว่าและเจาะจงกว่ามาก"
+    assert html.article_title(html.parsed("<title>Short | Site</title><h1>x</h1>")) == "Short | Site"
+    assert html.analysed_feed("<rss><channel><title>C</title><item><title>a</title><description/></item></channel></rss>") == {"channel_title": "C", "feed_format": "rss", "items": 1, "sample_titles": ["a"], "has_summary": True}
+    listing = html.analysed(f'<title>T</title><a href="{first}">f</a><a href="/feed">rss</a><div ng-version="1">', "https://example.org/", "^/en/")
+    assert (listing["anchors_total"], listing["candidate_links"], listing["links_matching_pattern"], listing["js_framework"], listing["feeds"]) == (2, 1, 1, ["Angular"], ["https://example.org/feed"])
+
+
+def test_report_shows_the_original_address_and_keeps_sources_apart(spark):
+    docs = spark.createDataFrame([("a", "recall", "2025-10-07"), ("b", "recall recall", "2024-01-01"), ("b", "recall", None)], "source string, text string, published_at string")
+    sources = spark.createDataFrame([(1, "b", "https://x/feed", "https://x/"), (0, "a", "https://x/", None)], "ord int, source string, url string, original_url string")
+    matrix = kw.Matrix([kw.Keyword("recall")])
+    ref = lambda **more: [tuple(r) for r in matrix.report(docs, sources, "source", F.col("text"), **more).first().ref]
+    assert ref() == [("https://x/", 1), ("https://x/", 3)]
+    assert ref(since=F.lit("2025-01-01").cast("timestamp")) == [("https://x/", 1), ("https://x/", 1)]
 
 
 def test_workbook():

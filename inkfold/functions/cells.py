@@ -109,7 +109,11 @@ def month_of(compact: Column) -> Column:
 
 
 def thai_date(text: Column, fuzzy=None) -> Column:
-    """struct<value date, certain boolean> of a date with a Thai month. fuzzy(letters) may read months spelt wrong."""
+    """struct<value date, certain boolean> of a date with a Thai month.
+
+    fuzzy(letters) may read months spelt wrong; as it stands inside a lambda, it must not be a Python function: similar.month_like
+    is put into a column before.
+    """
     none = F.lit(None).cast("date")
 
     def month(compact: Column) -> Column:

@@ -7,17 +7,51 @@ from difflib import SequenceMatcher
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkfold.functions.cells import arabic
-from inkfold.functions.text import clean_text, squashed
+from inkfold.functions.text import clean_text
 
 
 def same_field(field: str, key: Column, got: Column) -> Column:
-    """Whether two cells agree: ids on their digits, names without blanks, figures as they are (null equals null)."""
+    """Whether two cells agree: ids on their digits, trade names without blanks, stops and case, figures as they are (null equals null), texts with single blanks."""
     if field == "recipient_id":
         digits = lambda c: F.regexp_replace(arabic(F.coalesce(c, F.lit(""))), r"\D", "")
         return digits(key) == digits(got)
     if field in ("balance_brought", "received", "issued", "balance"):
         return key.eqNullSafe(got)
-    return F.lower(squashed(key)) == F.lower(squashed(got))
+    if field == "trade_name":
+        bare = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[\s.]", "")
+        return bare(key) == bare(got)
+    return clean_text(key) == clean_text(got)
+
+
+def page_quality(rows: DataFrame, page: list[str]) -> DataFrame:
+    """page, rows, confidence: the number of rows and the mean of their confidences, nulls left out, to four digits."""
+    return rows.groupBy(*page).agg(F.count("*").alias("rows"), F.bround(F.avg("confidence"), 4).alias("confidence"))
+
+
+def cell_scores(pairs: DataFrame, columns: list[str], numbers: list[str], identity: str | None = None) -> DataFrame:
+    """column, right, n, share over pairs by place (key_*, got_*), a row for each column and one for all cells together.
+
+    Figures must be equal, a missing one may be empty; texts may differ in blanks. identity: a column that is scored on its digits as well.
+    """
+    same = {c: F.coalesce(F.col(f"key_{c}").eqNullSafe(F.col(f"got_{c}")) if c in numbers else clean_text(F.col(f"key_{c}")) == clean_text(F.col(f"got_{c}")), F.lit(False)) for c in columns}
+    listed = [F.struct(F.lit(n).alias("ord"), F.lit(c).alias("column"), ok.cast("int").alias("right"), F.lit(True).alias("cell")) for n, (c, ok) in enumerate(same.items())]
+    if identity:
+        listed.append(F.struct(F.lit(len(columns)).alias("ord"), F.lit(f"{identity}*").alias("column"), same_field("recipient_id", F.col(f"key_{identity}"), F.col(f"got_{identity}")).cast("int").alias("right"), F.lit(False).alias("cell")))
+    one = pairs.select(F.explode(F.array(*listed)).alias("s")).select("s.*")
+    by_column = one.groupBy("ord", "column").agg(F.sum("right").alias("right"), F.count("*").alias("n"))
+    whole = one.where("cell").agg(F.lit(len(columns) + 1).alias("ord"), F.lit("all cells").alias("column"), F.coalesce(F.sum("right"), F.lit(0)).alias("right"), F.count("*").alias("n"))
+    return by_column.unionByName(whole).select("ord", "column", "right", "n", F.round(F.coalesce(F.try_divide("right", "n"), F.lit(0.0)), 6).alias("share"))
+
+
+def review_rates(pairs: DataFrame, fields: list[str], by: list[str], flag: str = "got_needs_review") -> DataFrame:
+    """by, rows, review_rate, wrong, unflagged: of the rows that were got, the share that is flagged, those that differ from the key and those of them that no flag shows."""
+    both = F.coalesce(F.col("in_key") & F.col("in_got"), F.lit(False))
+    right = both
+    for f in fields:
+        right = right & same_field(f, F.col(f"key_{f}"), F.col(f"got_{f}"))
+    got, flagged = F.coalesce("in_got", F.lit(False)), F.coalesce(flag, F.lit(False))
+    rate = F.round(F.try_divide(F.count_if(got & flagged), F.count_if(got)), 6)
+    return pairs.groupBy(*by).agg(F.count_if(got).alias("rows"), rate.alias("review_rate"), F.count_if(got & ~right).alias("wrong"), F.count_if(got & ~right & ~flagged).alias("unflagged"))
 
 
 def error_rate(key: Column, got: Column) -> Column:

@@ -27,15 +27,11 @@ def _order():
 
 
 BOXES = """(SELECT l_suppkey AS page, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS ord,
-  CAST(l_partkey % 2300 AS DOUBLE) AS cx, CAST(l_orderkey % 1500 AS DOUBLE) AS cy, l_quantity + 10 AS height, CAST(l_partkey AS VARCHAR) AS text FROM lineitem WHERE l_suppkey % 4 = 0)"""
-
-
-#: The pages that BOXES has; queries without SQL take all.
-IN_SQL = "page % 4 = 0"
+  CAST(l_partkey % 2300 AS DOUBLE) AS cx, CAST(l_orderkey % 1500 AS DOUBLE) AS cy, l_quantity + 10 AS height, CAST(l_partkey AS VARCHAR) AS text FROM lineitem)"""
 
 
 def box_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = boxes(spark, sf_dir).where(IN_SQL).withColumn("col", layout.interval_of(F.array(*map(F.lit, FORM_EDGES)), F.col("cx")))
+    placed = boxes(spark, sf_dir).withColumn("col", layout.interval_of(F.array(*map(F.lit, FORM_EDGES)), F.col("cx")))
     role = layout.role_of(F.lit(layout.FORMS[0][0]), F.col("col"))
     return placed.select("page", "ord", "col", role.alias("role"), layout.is_anchor(role, F.col("text")).alias("anchor"))
 
@@ -65,8 +61,26 @@ def line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.clusters(made, ["page"], 0.6).groupBy("page").agg(F.max("line").alias("last_line"), F.count("*").alias("n"))
 
 
+CLUSTERS_SQL = f"""
+WITH RECURSIVE placed AS MATERIALIZED (
+  SELECT page, cy, row_number() OVER (PARTITION BY page ORDER BY cy, ord) AS k, CASE WHEN n BETWEEN 1 AND {len(FORM_EDGES) - 1} THEN CAST(n - 1 AS INT) END AS col, unit
+  FROM (SELECT *, len(list_filter({EDGES_SQL}, lambda e: e <= cx)) AS n FROM {BOXES})
+  JOIN (SELECT page, list_sort(list(height))[count(*) // 2 + 1] AS unit FROM {BOXES} GROUP BY page) USING (page)
+), lines AS (
+  SELECT page, 0::BIGINT AS k, -1 AS line, 0.0::DOUBLE AS total, 0 AS held, CAST([] AS STRUCT(c INT, y DOUBLE)[]) AS own FROM (SELECT DISTINCT page FROM placed)
+  UNION ALL
+  SELECT page, k, CASE WHEN joins THEN line ELSE line + 1 END, CASE WHEN joins THEN total + cy ELSE cy END, CASE WHEN joins THEN held + 1 ELSE 1 END, CASE WHEN joins THEN list_append(own, box) ELSE [box] END
+  FROM (
+    SELECT p.page, p.k, l.line, l.total, l.held, l.own, p.cy, {{'c': p.col, 'y': p.cy}} AS box,
+      coalesce(l.held > 0 AND p.cy - l.total / l.held <= 0.6 * p.unit AND len(list_filter(l.own, lambda o: o.c = p.col AND abs(o.y - p.cy) > 0.35 * p.unit)) = 0, false) AS joins
+    FROM lines l JOIN placed p ON p.page = l.page AND p.k = l.k + 1)
+)
+SELECT page, max(line) AS last_line, count(*) AS n FROM lines WHERE k > 0 GROUP BY page
+"""
+
+
 def row_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    centres = boxes(spark, sf_dir).where(IN_SQL).select("page", "cy").distinct().withColumns({"top": F.lit(-50.0), "bottom": F.lit(2000.0)})
+    centres = boxes(spark, sf_dir).select("page", "cy").distinct().withColumns({"top": F.lit(-50.0), "bottom": F.lit(2000.0)})
     return layout.row_edges(centres, ["page"]).select("page", F.col("band").cast("int").alias("band"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
@@ -161,13 +175,13 @@ GROUP BY 1, 2
 
 def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    model = names.grams(parts.where("p_partkey % 2 = 0"), "p_type", F.lit(1))
+    model = names.grams(parts, "p_type", F.lit(1))
     return names.scored(parts, "p_type", model).select("word", F.round("per_char", 5).alias("per_char"))
 
 
 SCORES_SQL = f"""
 WITH places AS (SELECT w AS word, e, CAST(n AS INT) AS n, substr(t, e - n + 1, n) AS gram, substr(t, e - n + 1, n - 1) AS context FROM (SELECT DISTINCT p_type AS w, '^^^' || p_type || '$' AS t, unnest(range(4, length(p_type) + 5)) AS e FROM part), range(1, 5) AS r(n)),
-model AS (SELECT substr(t, e - n + 1, n) AS gram, CAST(n AS INT) AS n, count(*) AS hits FROM (SELECT '^^^' || p_type || '$' AS t, unnest(range(4, length(p_type) + 5)) AS e FROM part WHERE p_partkey % 2 = 0), range(1, 5) AS r(n) GROUP BY 1, 2),
+model AS (SELECT substr(t, e - n + 1, n) AS gram, CAST(n AS INT) AS n, count(*) AS hits FROM (SELECT '^^^' || p_type || '$' AS t, unnest(range(4, length(p_type) + 5)) AS e FROM part), range(1, 5) AS r(n) GROUP BY 1, 2),
 contexts AS (SELECT substr(gram, 1, n - 1) AS context, n, sum(hits) AS total FROM model GROUP BY 1, 2)
 SELECT word, round(avg(lp), 5) AS per_char FROM (
   SELECT word, e, ln(sum((coalesce(hits, 0) + 0.01) / (coalesce(total, 0) + 0.8) * [{", ".join(map(literal, names.LAMBDAS))}][n])) AS lp
@@ -183,7 +197,10 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.agreement(readings, names.voted(readings, "name_id"), "name_id").select("name_id", "name", F.round("agreement", 4).alias("agreement"))
 
 
-TITLED = [(0, "นางสาง สมศรี", "นางสาว สมศรี"), (1, "นาย ก", "นาย ก"), (2, "นายย ก", "นาย ก"), (3, "สมศรี", "สมศรี")]
+TITLED = [
+    (0, "นางสาง สมศรี", "นางสาง สมศรี"), (1, "นาย ก", "นาย ก"), (2, "นายย ก", "นายย ก"), (3, "สมศรี", "สมศรี"), (4, "เด็กขายวีระ", "เด็กชายวีระ"), (5, "นส วาริณี", "น.ส. วาริณี"), (6, "นสรี ดีใจ", "นสรี ดีใจ"),
+    (7, "นจิงสาวปรียา", "นางสาวปรียา"), (8, "นาข สม", "นาย สม"), (9, "นาวิน", "นาวิน"), (10, "ดช. สมชาย", "ด.ช. สมชาย"),
+]
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +211,7 @@ TABLE = [
     ("layout_box_roles", box_roles, ROLES_SQL),
     ("layout_forms_by_widths", forms_by_widths, rows_sql("ord int, code varchar", [(w[0], w[2]) for w in WIDTHS])),
     ("layout_forms_by_title", forms_by_title, rows_sql("ord int, code varchar", [(t[0], t[2]) for t in TITLES])),
-    ("layout_line_clusters", line_clusters, None),
+    ("layout_line_clusters", line_clusters, CLUSTERS_SQL),
     ("layout_row_edges", row_edges, EDGES_OF_ROWS),
     ("layout_cell_text", cell_texts, rows_sql("cell int, text varchar", [(1, "450 x"), (2, "a b c")])),
     ("layout_merged_line", merged_words, MERGED_SQL),

@@ -26,9 +26,9 @@ FROM (
 """
 
 
-def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rows(spark: SparkSession, sf_dir: str, ledger_sql: str = LEDGER) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    made = spark.sql(LEDGER.replace("FROM lineitem", "FROM {lineitem}"), lineitem=items)
+    made = spark.sql(ledger_sql.replace("FROM lineitem", "FROM {lineitem}"), lineitem=items)
     lost = [F.when(F.col(u), F.lit(q)) for u, q in zip(("u_b", "u_r", "u_i", "u_z"), ledger.QUANTITIES)]
     return made.withColumn("unread", F.array_compact(F.array(*lost))).withColumn("notes", F.array().cast("array<string>"))
 
@@ -131,6 +131,34 @@ def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.settle_dates(rows, "document", "page").select("page", "ord", "entry_date", "date_certain", F.size("notes").alias("n_notes"))
 
 
+SETTLED_SQL = """
+WITH RECURSIVE read AS MATERIALIZED (
+  SELECT event_id AS ord, CAST(strftime(ts, '%Y%m') AS INT) AS page, event_id % 5 = 0 AS unread, day(ts) AS own_day,
+    CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 9 = 1 THEN CAST(ts AS DATE) + 62 ELSE CAST(ts AS DATE) END AS d FROM events
+), months AS (
+  SELECT page, month FROM (SELECT page, date_trunc('month', d) AS month, count(*) AS n, min(ord) AS first FROM read WHERE NOT unread GROUP BY 1, 2)
+  QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC, first) = 1
+), placed AS MATERIALIZED (
+  SELECT r.page, ord, row_number() OVER (PARTITION BY r.page ORDER BY ord) AS k, year(month) AS y, month(month) AS m, coalesce(date_trunc('month', d) <> month, false) AS off,
+    CASE WHEN unread OR date_trunc('month', d) <> month THEN NULL ELSE d END AS d, NOT unread AS sure,
+    CASE WHEN unread THEN CAST(own_day AS VARCHAR) ELSE CAST(day(d) AS VARCHAR) || CAST(month(d) AS VARCHAR) || strftime(d, '%y') END AS digits
+  FROM read r JOIN months USING (page)
+), lines AS (
+  SELECT page, 0::BIGINT AS k, NULL::BIGINT AS ord, NULL::DATE AS entry_date, false AS date_certain, 0 AS n_notes, 0 AS latest FROM (SELECT DISTINCT page FROM placed)
+  UNION ALL
+  SELECT page, k, ord, coalesce(d, found), sure AND NOT off, CAST(off AS INT) + CAST(d IS NULL AND found IS NOT NULL AS INT), coalesce(day(coalesce(d, found)), latest)
+  FROM (
+    SELECT *, CASE WHEN len(fits) = 1 THEN try_cast(printf('%04d-%02d-%02d', y, m, fits[1]) AS DATE) WHEN len(near) = 1 THEN try_cast(printf('%04d-%02d-%02d', y, m, near[1]) AS DATE) END AS found
+    FROM (
+      SELECT *, list_filter(fits, lambda x: contains(substr(digits, len(CAST(x AS VARCHAR)) + 1, 2), CAST(m AS VARCHAR))) AS near
+      FROM (
+        SELECT p.*, l.latest, list_filter(list_distinct([CAST(substr(p.digits, 1, 1) AS INT), CASE WHEN len(p.digits) > 1 THEN CAST(substr(p.digits, 1, 2) AS INT) END]), lambda x: x IS NOT NULL AND x >= l.latest AND x <= 31) AS fits
+        FROM lines l JOIN placed p ON p.page = l.page AND p.k = l.k + 1)))
+)
+SELECT page, ord, entry_date, date_certain, n_notes FROM lines WHERE k > 0
+"""
+
+
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size", F.col("p_retailprice").alias("x"))
     out = ledger.merged_positions(parts, ["p_size"], "x", 20.0)
@@ -231,7 +259,7 @@ TABLE = [
     ("ledger_line_numbers", line_numbers, NUMBERS_SQL),
     ("ledger_output_rows", output, OUTPUT_SQL),
     ("ledger_reconcile", reconciled, RECONCILED_SQL),
-    ("ledger_settle_dates", settled, None),
+    ("ledger_settle_dates", settled, SETTLED_SQL),
     ("ledger_carry_dates", carried, CARRIED_SQL),
     ("ledger_modal_months", months, MONTHS_SQL),
     ("ledger_merged_positions", merged, MERGED_SQL),

@@ -3,7 +3,6 @@ import io
 import random
 import zipfile
 
-from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from inkfold.functions import html
@@ -42,18 +41,24 @@ def test_settle_dates(spark):
     assert out == {(1, 1, 0): day(2026, 3, 1), (1, 1, 1): day(2026, 3, 28), (1, 1, 2): None, (1, 1, 3): day(2026, 3, 2), (1, 2, 0): day(2026, 3, 5), (1, 2, 1): None, (2, 1, 0): None}
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.text("0123456789", max_size=6), st.integers(0, 31), st.integers(1, 12))
-def test_only_day_is_a_day_not_before(digits, before, month):
-    found = ledger.only_day(digits, before, month)
-    assert found is None or before <= found <= 31
-
-
 def test_possible_day_equals_the_fold(spark):
     rng = random.Random(4)
-    rows = [("".join(rng.choices("0123456789", k=rng.randint(0, 5))), rng.randint(0, 20), rng.randint(1, 12)) for _ in range(200)]
-    df = spark.createDataFrame(rows, "t string, b int, m int").select("t", "b", "m", ledger.possible_day(F.col("t"), F.col("b"), F.col("m")).alias("d"))
-    assert all(r.d == ledger.only_day(r.t, r.b, r.m) for r in df.collect())
+    rows = [("".join(rng.choices("0123456789", k=rng.randint(0, 5))), rng.randint(1, 20), rng.choice([1, 3, 5, 10])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "t string, b int, m int")
+    df = df.select("t", "b", "m", ledger.possible_day(F.col("t"), F.col("b"), F.col("m")).alias("d"), ledger.day_readings(F.col("t"), F.col("m")).alias("r"))
+    for r in df.collect():
+        above = {"entry_date": dt.date(2026, 1, r.b), "__range": False, "__year": 2026, "__in": r.m, "__days": [], "notes": []}
+        line = {"entry_date": None, "__range": False, "__year": 2026, "__in": r.m, "__days": [x.asDict() for x in r.r], "notes": []}
+        got = ledger.recover_days([above, line])[1]["entry_date"]
+        assert got == (None if r.d is None else dt.date(2026, r.m, r.d))
+
+
+def test_movements_need_their_column_and_reviews_follow_the_notes(spark):
+    lines = [line(450, None, 40, 410), {**line(None, None, None, 380), "roles": ["date", "received"]}]
+    assert figures(lines)[1] == (None, None, None, 380)
+    rows = [(1, 0, "1/3/69", dt.date(2026, 3, 1), True, [], False), (1, 1, "", None, False, ["date could not be read"], True), (1, 2, "", None, False, ["date could not be read", "x"], True)]
+    df = spark.createDataFrame(rows, "p int, ord int, date_text string, entry_date date, date_certain boolean, notes array<string>, needs_review boolean")
+    assert [r.needs_review for r in ledger.carry_dates(df, ["p"], ["ord"]).orderBy("ord").collect()] == [False, False, True]
 
 
 def test_overlaps_in_arrays_equal_a_loop(spark):

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkfold.functions.dates import within
-from inkfold.functions.text import normalize_text
+from inkfold.functions.html import normalized
 
 #: A phrase with words in brackets, an abbreviation, and Thai letters. Fixed values.
 PHRASE_AND_INNER = re.compile(r"(.{2,}?)\s+\(([^)]{2,60})\)\s*")
@@ -48,7 +50,7 @@ def quoted(text: str) -> str:
 
 
 def pattern(term: str, exclude: Iterable[str] = ()) -> str:
-    """A Java pattern for one term: Thai matches anywhere, others as whole words with plural, and not inside what is excluded."""
+    """A pattern, for Java and Python, for one term: Thai matches anywhere, others as whole words with plural, and not inside what is excluded."""
     term = term.strip()
     before = after = ""
     for word in exclude:
@@ -114,6 +116,35 @@ def resolve_rows(spans: DataFrame, *keys: str) -> DataFrame:
     return spans.withColumn("__covered", F.max("end").over(order)).where("__covered IS NULL OR __covered < end").drop("__covered")
 
 
+def found_in(text: str, patterns: list[tuple[int, re.Pattern]], resolve: bool) -> Counter:
+    """How often each keyword (its number) occurs in a normalised text; resolve: without spans inside others, as resolved() has it."""
+    spans = [(m.start(), -m.end(), k) for k, p in patterns for m in p.finditer(text)]
+    if not resolve:
+        return Counter(k for _, _, k in spans)
+    counts, covered = Counter(), -1
+    for _, back, k in sorted(spans):
+        if -back > covered:
+            counts[k], covered = counts[k] + 1, -back
+    return counts
+
+
+def _counted(patterns: list[tuple[int, str]], resolve: bool):
+    """A function for mapInArrow: sums of found_in() for each source of a batch."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [(k, re.compile(p)) for k, p in patterns]
+        for batch in batches:
+            sums: Counter = Counter()
+            for source, text in zip(batch.column("source").to_pylist(), batch.column("text")):
+                for k, n in found_in(normalized(text.as_py()), compiled, resolve).items():
+                    sums[source, k] += n
+            columns = [[s for s, _ in sums], [k for _, k in sums], list(sums.values())]
+            kinds = [batch.schema.field("source").type, pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["source", "kw", "n"])
+
+    return counted
+
+
 @dataclass
 class Matrix:
     """Counts of keywords in the texts of sources, dense: a row for each keyword and source.
@@ -125,15 +156,12 @@ class Matrix:
     resolve: bool = True
 
     def totals(self, articles: DataFrame, source: str, text: Column) -> DataFrame:
-        """source, keyword, count of what occurs."""
+        """source, keyword, count of what occurs: each text is normalised and searched once, in Arrow batches that give sums."""
         names = list(dict.fromkeys(k.name for k in self.keywords))
-        clean = articles.select(F.col(source).alias("source"), normalize_text(text).alias("text"))
-        if self.resolve:
-            spans = F.concat(*[spans_of(F.col("text"), names.index(k.name), k.patterns()) for k in self.keywords])
-            hits = clean.select("source", F.explode(resolved(spans)).alias("s")).groupBy("source", F.col("s.kw").alias("kw")).agg(F.count("*").alias("count"))
-        else:
-            sums = [F.struct(F.lit(names.index(k.name)).alias("kw"), count_in(F.col("text"), k.patterns()).cast("bigint").alias("n")) for k in self.keywords]
-            hits = clean.select("source", F.explode(F.array(*sums)).alias("s")).groupBy("source", F.col("s.kw").alias("kw")).agg(F.sum("s.n").alias("count"))
+        patterns = [(names.index(k.name), p) for k in self.keywords for p in k.patterns()]
+        plain = articles.select(F.col(source).alias("source"), text.alias("text")).where("text is not null")
+        hits = plain.mapInArrow(_counted(patterns, self.resolve), f"source {plain.schema['source'].dataType.simpleString()}, kw int, n bigint")
+        hits = hits.groupBy("source", "kw").agg(F.sum("n").alias("count"))
         return hits.select("source", F.element_at(F.array(*map(F.lit, names)), F.col("kw") + 1).alias("keyword"), "count")
 
     def dense(self, articles: DataFrame, sources: DataFrame, source: str, text: Column) -> DataFrame:

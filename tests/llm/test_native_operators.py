@@ -4,6 +4,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from tests.llm.hand_labelled import FINDINGS
 from inkfold.llm import pii, secret_scan, url_filter
 
 
@@ -77,6 +78,14 @@ def test_secrets(spark):
     assert secret_scan.scan(docs(spark, [])).count() == 0
 
 
+def test_forest_on_findings_of_another_source(spark):
+    df = spark.createDataFrame([(i, t, p) for i, (t, p, _) in enumerate(FINDINGS)], "doc_id int, text string, source string")
+    found = {r.doc_id for r in secret_scan.scan(df).where("is_secret").collect()}
+    secrets = {i for i, f in enumerate(FINDINGS) if f[2]}
+    assert len(found & secrets) / len(found) >= 0.9 and len(found & secrets) / len(secrets) >= 0.9
+    assert secret_scan.scan(df.drop("source")).count() > 0
+
+
 def test_forest_on_held_out_findings(spark):
     table = secret_scan.labelled(spark).withColumn("row", F.monotonically_increasing_id())
     model = secret_scan.train(table.where("row % 5 <> 0"))

@@ -9,10 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfold.plans import layout_queries, ledger_queries, news_queries, page_queries, storage_queries
+from inkfold.plans import detail_queries, layout_queries, ledger_queries, news_queries, page_queries, storage_queries
 
 FLAGSHIP = "news_keyword_matrix"
-MODULES = [news_queries, storage_queries, ledger_queries, layout_queries, page_queries]
+MODULES = [news_queries, storage_queries, ledger_queries, layout_queries, page_queries, detail_queries]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

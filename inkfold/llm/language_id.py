@@ -5,8 +5,10 @@ the language with the smallest output wins. Texts are encoded in chunks that all
 long text is not judged by how well it predicts itself, and memory stays bounded. A text is rejected when the winner's
 margin over the runner-up is narrow: the margin is the share of the runner-up's bytes that the winner saves.
 
-Null texts and texts without a letter get `und` with score 0 and are rejected. With no labelled text at all every text
-is `und`. Ties go to the language that sorts first. Repeated rows get a row each; extra columns are ignored.
+Null texts and texts without a letter, empty ones too, get `und` with score 0 and are rejected. With no labelled text at
+all every text is `und`. Very long texts are encoded whole, chunk by chunk. Ties go to the language that sorts first.
+Repeated rows get a row each; an empty table gives none; extra columns are ignored, and kept by labelled_documents()
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,11 +21,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
+from inkfold.llm.common import fresh_name, released
+
 #: Documents of a language that its dictionary is cut from, at most, and characters of each: the bounded sample.
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 512
 DICTIONARY_BYTES = 32 * 1024
 CHUNK = 8192
 LEVEL, MIN_MATCH = 6, 3
+#: Sampled documents that are sent to all tasks, at most; more of them are joined without that.
+BROADCAST_ROWS = 100_000
 #: Narrower margins are rejected.
 MIN_MARGIN = 0.003
 UND = "und"
@@ -50,7 +56,9 @@ def train(documents: DataFrame) -> dict[str, bytes]:
     key = F.xxhash64(F.col("doc_id").cast("string"))
     labelled = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     cells = labelled.groupBy("lang", F.pmod(key, F.lit(SAMPLE_DOCS)).alias("cell")).agg(F.min_by("doc_id", key).alias("doc_id"))
-    chosen = F.broadcast(cells.select(F.col("lang").alias("of"), F.col("doc_id").alias("chosen")))
+    chosen = cells.select(F.col("lang").alias("of"), F.col("doc_id").alias("chosen"))
+    if labelled.select("lang").distinct().count() * SAMPLE_DOCS <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
     texts = documents.join(chosen, (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("of")))
     cut = F.substring("text", 1 + F.greatest(F.lit(0), F.expr(f"(length(text) - {SAMPLE_CHARS}) div 2")), F.lit(SAMPLE_CHARS))
     rows = texts.groupBy("lang", "doc_id").agg(F.min(cut).alias("text")).orderBy("lang", "doc_id").collect()
@@ -96,6 +104,8 @@ def classify(documents: DataFrame, dictionaries: dict[str, bytes], min_margin: f
         for batch in batches:
             judged = _judged(judge, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *judged], schema=PREDICTED)
+        del judge
+        released()
 
     held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), held, "text").mapInArrow(predict, PREDICTED_DDL)
@@ -109,15 +119,18 @@ def _judged(judge, texts: pa.Array) -> list[pa.Array]:
 def labelled_documents(documents: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
     """documents without those that are rejected, with the predicted language as lang; all their columns."""
     dictionaries = train(documents.where(fold(F.col("doc_id")) != 2))
+    told, refused = fresh_name(documents, "told"), fresh_name(documents, "refused")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(dictionaries, min_margin).judge
         for batch in batches:
             lang, _, _, rejected = _judged(judge, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lang, rejected], names=[*batch.schema.names, "__lang", "__rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lang, rejected], names=[*batch.schema.names, told, refused])
+        del judge
+        released()
 
-    noted = documents.mapInArrow(predict, StructType([*documents.schema.fields, StructField("__lang", StringType()), StructField("__rejected", BooleanType())]))
-    return noted.where("not __rejected").select(*[F.col("__lang").alias(c) if c == "lang" else F.col(f"`{c}`") for c in documents.columns])
+    noted = documents.mapInArrow(predict, StructType([*documents.schema.fields, StructField(told, StringType()), StructField(refused, BooleanType())]))
+    return noted.where(~F.col(refused)).select(*[F.col(told).alias(c) if c == "lang" else F.col(f"`{c}`") for c in documents.columns])
 
 
 def identify(documents: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:

@@ -6,8 +6,9 @@ number is reached, the fullest is closed and a new one opened. Each task packs t
 come. What is still open at its end is packed once more, longest piece first, by far fewer tasks, so that the loss does
 not grow with the number of partitions.
 
-A null text counts as empty: its document is the single id 0. An empty table gives no rows. Repeated rows are packed
-each. Extra columns are ignored.
+A null text counts as empty: its document is the single id 0. Very long texts are encoded whole and cut into pieces, of
+which all but the last fill a sequence. Of open sequences with equal room the latest is taken. An empty table gives no
+rows. Repeated rows are packed each. Extra columns are ignored.
 """
 
 from __future__ import annotations

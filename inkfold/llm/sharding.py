@@ -6,7 +6,8 @@ numbers of slots to within one, and when a shard is added or removed few slots c
 number of rows whatever the data, so its broadcast is bounded, and a row is placed by one hash and one lookup, without
 a shuffle. Placement is by key, so a source with a third of all rows is spread like any other.
 
-A null key is placed by the row's digest column if one is given, else like an empty text. Repeated keys go to one shard.
+A null key is placed by the row's digest column if one is given, else like an empty text. Very long keys are hashed whole.
+Repeated keys go to one shard; shards have distinct names, so turns have no ties.
 An empty table gives no rows. Extra columns are kept.
 """
 

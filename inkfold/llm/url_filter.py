@@ -6,7 +6,8 @@ labelled table when the operator runs. All work is done by SQL functions and the
 judged where they are read, without a shuffle, so a very common host costs nothing extra.
 
 Null urls and urls without `://` have an empty host and path; no rule fits them and the model judges the empty name.
-Repeated rows get a row each; an empty table gives none; extra columns are ignored.
+Very long urls are judged whole, in time that grows with their length. Of two rules of one length that both fit, the one
+that sorts first decides; a probability of exactly one half allows. Repeated rows get a row each; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -72,6 +72,37 @@ def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
     assert packer.still_open() == {2, 3}
 
 
+def test_best_fit_equals_a_search_of_all_bins():
+    rng = random.Random(12)
+    for bins in (1, 3, 17):
+        packer, opened, closed = packing.BestFit(capacity=50, bins=bins), [], 0
+        for _ in range(2000):
+            length = rng.choice([rng.randint(1, 50), rng.randint(1, 9), 50])
+            fit = min((free for free in opened if free >= length), default=None)
+            if fit is None and length < 50 and len(opened) >= bins:
+                opened.remove(min(opened))  # the fullest
+                closed += 1
+            if fit is not None:
+                opened.remove(fit)
+            fit = 50 if fit is None else fit
+            assert packer.place(length)[1] == 50 - fit
+            if fit > length:
+                opened.append(fit - length)
+        assert len(packer.still_open()) == len(opened)
+
+
+def test_few_sequences(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    row = packing.pack(docs).agg(F.sum("length").alias("n"), F.countDistinct("sequence_id").alias("s")).first()
+    assert row.s <= 1.03 * row.n / 2048 + 1
+
+
+def test_labelled_documents_keep_columns_of_any_name(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).withColumns({"told": F.lit(1), "refused": F.lit("x")})
+    out = language_id.labelled_documents(docs)
+    assert out.columns == docs.columns and out.where("told = 1 and refused = 'x'").count() == out.count() > 0
+
+
 def test_packing_an_empty_table(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 DEFAULT_LIMIT, MOST = 50, 200
@@ -47,9 +48,36 @@ def replaced(stored: DataFrame, fresh: DataFrame, key: str = "document_id") -> D
     return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
-def replace_sink(fresh: DataFrame, path: str, key: str = "document_id") -> None:
-    """Write fresh over the partitions of its own documents; other documents' stay. Use where documents are few and large."""
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def replace_sink(fresh: DataFrame, path: str, key: str = "document_id", buckets: int = 256) -> None:
+    """Replace the rows of fresh's documents in a stored table; other documents' rows stay.
+
+    The table lies in folders by a hash of the document, so their number is bounded. Only folders of fresh's documents are
+    read and written again; they are replaced when the job commits, so a job that fails changes nothing. fresh is read more
+    than once and should be stored or cached.
+    """
+    spark, bucket = fresh.sparkSession, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+    placed = fresh.withColumn("bucket", bucket)
+    touched = [r["bucket"] for r in placed.select("bucket").distinct().collect()]  # at most `buckets`
+    try:
+        kept = spark.read.schema(placed.schema).parquet(path).where(F.col("bucket").isin(touched))
+        whole = replaced(kept, placed, key).select(placed.columns)
+    except AnalysisException as why:
+        if why.getCondition() != "PATH_NOT_FOUND":
+            raise
+        whole = placed
+    whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def entries_of(rows: DataFrame) -> DataFrame:
+    """Stored entries of parsed rows (as pages.extract() gives them): cells by their column's name, cut to what columns hold."""
+    cell = lambda c: F.coalesce(F.try_element_at("cells", F.lit(c)), F.lit("")).alias(c)
+    texts = ["generic_name", "trade_name", "batch_no", "manufacturer", "received_from", "issued_to", "recipient_id", "unit", "prescription_no", "remark"]
+    return stored_entry(
+        rows.select(
+            F.col("doc").alias("document_id"), F.col("page").alias("page_number"), "row_index", "form_code", "entry_date", F.coalesce(F.try_element_at("cells", F.lit("date")), F.lit("")).alias("entry_date_text"),
+            *map(cell, texts), "balance_brought", "received", "issued", "balance", F.col("confidence").cast("decimal(5,4)").alias("confidence"), "needs_review", F.col("notes").alias("review_notes"), "raw_text",
+        )
+    )
 
 
 def uploads(files: DataFrame, content: Column, name: Column) -> DataFrame:

@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from inkfold.functions import html
-from inkfold.operators import keywords as kw, layout, ledger, news
+from inkfold.operators import keywords as kw, layout, ledger, news, storage
 from inkfold.sources import sinks, text_layer
 from inkfold.streaming.keyword_stream import windowed_counts
 
@@ -182,6 +182,23 @@ def test_text_boxes(spark):
     assert [(r.text, r.space_before) for r in rows] == [("ab", False), ("c", True), ("d", False), ("e", True)] and rows[0].x1 == 300
 
 
+def test_documents_are_replaced_in_bounded_folders(spark, tmp_path):
+    ddl, path = "document_id int, page_number int, note string", str(tmp_path / "entries")
+    storage.replace_sink(spark.createDataFrame([(d, p, "old") for d in range(20) for p in range(2)], ddl), path, buckets=4)
+    storage.replace_sink(spark.createDataFrame([(3, 0, "new"), (25, 0, "new")], ddl), path, buckets=4)
+    rows = [tuple(r)[:3] for r in spark.read.parquet(path).collect()]
+    assert sorted(rows) == sorted([(d, p, "old") for d in range(20) if d != 3 for p in range(2)] + [(3, 0, "new"), (25, 0, "new")])
+    assert len([f for f in (tmp_path / "entries").iterdir() if f.name.startswith("bucket=")]) <= 4
+
+
+def test_entries_of_parsed_rows(spark):
+    ddl = "doc int, page int, row_index bigint, form_code string, cells map<string,string>, entry_date date, balance_brought int, received int, issued int, balance int, confidence double, needs_review boolean, notes array<string>, raw_text string"
+    row = (1, 2, 0, "f", {"date": "1/3/69", "generic_name": "A", "batch_no": "B" * 300, "age": "7"}, dt.date(2026, 3, 1), 5, None, 1, 4, 0.12345, True, ["n"], "raw")
+    (entry,) = storage.entries_of(spark.createDataFrame([row], ddl)).collect()
+    assert (entry.document_id, entry.page_number, entry.entry_date_text, entry.generic_name, entry.unit, len(entry.batch_no)) == (1, 2, "1/3/69", "A", "", 100)
+    assert (entry.received, entry.balance, str(entry.confidence), entry.review_notes) == (None, 4, "0.1235", ["n"]) and "age" not in entry
+
+
 def test_keyword_stream(spark, tmp_path):
     rows = [("s", "recall of recalls", dt.datetime(2025, 10, 7)), ("s", "none", dt.datetime(2025, 10, 8))]
     spark.createDataFrame(rows, "source string, text string, at timestamp").write.parquet(str(tmp_path / "in"))

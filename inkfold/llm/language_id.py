@@ -3,7 +3,8 @@
 Each language has a zstandard raw-content dictionary cut from labelled texts. A text is encoded with each dictionary;
 the language with the smallest output wins. Texts are encoded in chunks that all start from the dictionary, so that a
 long text is not judged by how well it predicts itself, and memory stays bounded. A text is rejected when the winner's
-margin over the runner-up is narrow: the margin is the share of the runner-up's bytes that the winner saves.
+margin over the runner-up is narrow: the margin is the share of the runner-up's bytes that the winner saves. As a share says
+little of a short text, where one byte is a large one, the winner must save a least number of bytes besides.
 
 Null texts and texts without a letter, empty ones too, get `und` with score 0 and are rejected. With no labelled text at
 all every text is `und`. Very long texts are encoded whole, chunk by chunk. Ties go to the language that sorts first.
@@ -30,8 +31,8 @@ CHUNK = 8192
 LEVEL, MIN_MATCH = 6, 3
 #: Sampled documents that are sent to all tasks, at most; more of them are joined without that.
 BROADCAST_ROWS = 100_000
-#: Narrower margins are rejected.
-MIN_MARGIN = 0.003
+#: Narrower margins are rejected, and fewer bytes saved.
+MIN_MARGIN, MIN_SAVED = 0.02, 4
 UND = "und"
 
 PREDICTED_DDL = "doc_id bigint, held_out boolean, lang_pred string, score double, margin double, rejected boolean"
@@ -93,7 +94,7 @@ class Judge:
         margin = 1 - sizes[best] / second
         # bytes saved, as odds of the winner against the others
         score = 1 / sum(2.0 ** max(-60.0, sizes[best] - s) for s in sizes)
-        return self.by[best][0], score, margin, margin < self.min_margin
+        return self.by[best][0], score, margin, margin < self.min_margin or second - sizes[best] < MIN_SAVED
 
 
 def classify(documents: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:

@@ -204,6 +204,27 @@ def test_language_of_odd_rows(spark):
     assert language_id.identify(frame(spark, [], "en")).count() == 0
 
 
+def test_texts_of_no_learned_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    learned = language_id.train(docs.where(language_id.fold(docs.doc_id) != 2))
+    held = docs.where(language_id.fold(docs.doc_id) == 2).where("n_chars between 50 and 4000").select("text", "lang").collect()
+    of = {least: [r for r in held if least <= len(r.text) < most] for least, most in ((50, 500), (500, 4001))}
+    judge = language_id.Judge(learned).judge
+    for rows, most in ((of[50], 0.04), (of[500], 0.01)):
+        refused = sum(judge(r.text)[3] for r in rows) / len(rows)
+        print("learned", len(rows), refused)
+        assert len(rows) > 200 and refused < most
+    for left_out in learned:
+        judge = language_id.Judge({k: v for k, v in learned.items() if k != left_out}).judge
+        # short texts of another language are harder to tell: most of them go, not all
+        for rows, least in ((of[50], 0.5), (of[500], 0.8)):
+            own = [judge(r.text)[3] for r in rows if r.lang == left_out]
+            print(left_out, len(own), sum(own) / len(own))
+            assert sum(own) / len(own) > least, (left_out, len(own), sum(own))
+    # one byte is no margin
+    assert all(language_id.Judge({"en": b"the and of", "fr": b"le la les"}).judge(t)[3] for t in ("qzx", "vv", "the"))
+
+
 def test_long_texts_are_judged_whole():
     judge = language_id.Judge({"en": b"the and of to in is that with for as was on " * 9, "fr": b"le la les et des en un une du que qui dans " * 9})
     tail = "le et les des une qui dans que du la un en " * 3000

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A-Z become a-z; digits, a-z and all bytes from 0x80 stay; any other byte separates words.
 WORD_BYTES = bytes(
@@ -71,6 +71,27 @@ def scratch() -> Iterator[Callable[..., DataFrame]]:
         dropped(df)
 
 
+#: A key with more than one in this many rows of a join's side is hot, so at most so many keys are.
+HOT_SHARE = 2000
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, spread_by: str, how: str = "inner") -> DataFrame:
+    """big.join(small, key, how) with how inner or left, where a key may hold a large share of big's rows and small has one row for each key.
+
+    The rows of a hot key are dealt by spread_by over several tasks, to each of which the key's row of small is copied: a
+    task gets few more rows of one key than one in HOT_SHARE of all. What is broadcast are hot keys and their numbers of
+    tasks, at most HOT_SHARE rows; the copies are at most twice as many. big is read twice, so it should be a stored table.
+    """
+    counts = big.groupBy(key).agg(F.count("*").alias("rows"))
+    most = big.agg((F.count("*") / HOT_SHARE).alias("most"))
+    tasks, task = fresh_name(big, "tasks"), fresh_name(big, "task")
+    hot = F.broadcast(counts.join(F.broadcast(most), F.col("rows") > F.col("most")).select(key, F.ceil(F.col("rows") / F.col("most")).cast("int").alias(tasks)))
+    number = F.coalesce(F.col(tasks), F.lit(1))
+    dealt = big.join(hot, key, "left").withColumn(task, F.pmod(F.xxhash64(spread_by), number).cast("int")).drop(tasks)
+    copied = small.join(hot, key, "left").withColumn(task, F.explode(F.sequence(F.lit(0), number - 1))).drop(tasks)
+    return dealt.join(copied, [key, task], how).drop(task)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """name, or name with marks before it if df has such a column already (in any case)."""
     taken = {c.lower() for c in df.columns}

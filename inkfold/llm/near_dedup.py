@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from inkfold.llm.common import fresh_name, released, scratch, stored, words_of
+from inkfold.llm.common import fresh_name, released, scratch, spread_join, stored, words_of
 from inkfold.llm.components import components
 
 WORDS = 5
@@ -252,16 +252,16 @@ def _across(threshold: float):
 
 
 def _with_sides(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """pairs (a, b, ...) with column of table (node, column) for both as x and y."""
-    one = pairs.join(table.select(F.col("node").alias("b"), F.col(column).alias("y")), "b")
-    return one.join(table.select(F.col("node").alias("a"), F.col(column).alias("x")), "a")
+    """Stored pairs (a, b, ...) with column of table (node, column) for both as x and y; a may be a hub of very many."""
+    one = spread_join(pairs, table.select(F.col("node").alias("a"), F.col(column).alias("x")), "a", "b")
+    return one.join(table.select(F.col("node").alias("b"), F.col(column).alias("y")), "b")
 
 
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node, class_node of all rows; node: one for each distinct word sequence. The table is stored."""
     with scratch() as keep:
         rows, labels = _labelled(documents, threshold, keep)
-        least = rows.join(keep(labels, "classes-of-nodes"), "node", "left").withColumn("class_node", F.coalesce("component", "node"))
+        least = spread_join(rows, keep(labels, "classes-of-nodes"), "node", "doc_id", "left").withColumn("class_node", F.coalesce("component", "node"))
         return stored(least.select("doc_id", "node", "class_node"), "classes")
 
 
@@ -288,8 +288,8 @@ def _labelled(documents: DataFrame, threshold: float, stored) -> tuple[DataFrame
         return _with_sides(pairs, sets, "shingles").select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a bigint, b bigint")
 
     # first the likeliest hub of each member, which merges most of a group
-    near = stored(agreeing(pairs), "near")
-    best = near.groupBy("b").agg(F.max_by("a", F.struct("agreement", "a")).alias("a"))
+    near = stored(agreeing(stored(pairs, "pairs")), "near")
+    best = stored(near.groupBy("b").agg(F.max_by("a", F.struct("agreement", "a")).alias("a")), "best")
     links = stored(verified(best), "links")
     label = stored(components(links), "labels")
 
@@ -315,9 +315,8 @@ def _labelled(documents: DataFrame, threshold: float, stored) -> tuple[DataFrame
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id of each row: the least doc_id of its class of near-duplicates."""
     rows = classes(documents, threshold)
-    # stored, so that the join's own exchange of a large class can be split
     least = stored(rows.where("class_node is not null").groupBy("class_node").agg(F.min("doc_id").alias("class_id")), "least")
-    worded = rows.join(least, "class_node").select("doc_id", "class_id")
+    worded = spread_join(rows, least, "class_node", "doc_id").select("doc_id", "class_id")
     return worded.unionByName(rows.where("class_node is null").select("doc_id", F.col("doc_id").alias("class_id")))
 
 

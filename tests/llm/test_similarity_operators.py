@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inkfold.llm import ann, near_dedup, substring_dedup
+from inkfold.llm import ann, common, near_dedup, substring_dedup
 from inkfold.llm.common import words_of
 from inkfold.llm.components import components
 
@@ -255,3 +255,15 @@ def test_repeated_line_keeps_the_signature():
     (signed,) = near_dedup._sign(iter([batch]))
     assert jaccard(*map(words_of, texts)) == 1
     assert signed.column("bands")[0] == signed.column("bands")[1] and signed.column("signature")[0] == signed.column("signature")[1]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_equals_join(spark, how, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 5)
+    keys = [7] * 60 + [8] * 25 + [None] * 30 + list(range(20, 40)) + [7]
+    big = spark.createDataFrame([(k, i, -i) for i, k in enumerate(keys)], "key long, id long, task long")
+    small = spark.createDataFrame([(k, f"s{k}") for k in [7, 8, *range(20, 30), 99]], "key long, name string")
+    got = common.spread_join(big, small, "key", "id", how)
+    assert got.columns == ["key", "id", "task", "name"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, big.join(small, "key", how).select(got.columns).collect()))
+    assert common.spread_join(big.limit(0), small, "key", "id", how).count() == 0

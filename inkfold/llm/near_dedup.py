@@ -42,7 +42,7 @@ LEAST_AGREEMENT = 0.62
 BLOCK, COLUMNS = 2048, 4096
 #: Bytes of the sets of such members.
 BLOCK_BYTES = 8_000_000
-#: Words that are handled at a time, and words whose hashes a worker keeps.
+#: Words that are handled at a time, and words whose hashes, or nodes whose copies, a worker keeps.
 CHUNK_WORDS, CACHE = 150_000, 100_000
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
@@ -159,13 +159,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in _chunks(batches):
-        texts = [w for w in texts if w]
+    """Each node's set, once for all its copies in a task."""
+    given: set[int] = set()
+    for _, chunk in _chunks(batches):
+        if len(given) > CACHE:
+            given.clear()
+        fresh = {n: w for n, w in ((node_of(w), w) for w in chunk if w) if n not in given}
+        given.update(fresh)
+        texts = list(fresh.values())
         who, value, _ = shingle_sets(texts)
         cuts = np.searchsorted(who, np.arange(len(texts) + 1))
         # 32 bits of each hash; sorted
         sets = [np.sort((value[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(cuts, cuts[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array([node_of(w) for w in texts], pa.int64()), pa.array(sets, pa.binary())], schema=SETS)
+        yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int64()), pa.array(sets, pa.binary())], schema=SETS)
 
 
 def _agreeing(least: float):

@@ -14,15 +14,15 @@ DOCUMENT = r"(?i)\.(pdf|docx?|xlsx?|pptx?|zip|rar|csv|rtf)($|[?#])"
 MARKUP = ["text/html", "application/xhtml", "text/xml", "application/xml", "application/rss", "application/atom", "text/plain"]
 
 
-def pages(df: DataFrame, link_pattern: str | None = None, url: str = "url", source: str = "html") -> DataFrame:
-    """df without its html, with title, text, links, dates, next_url, feeds and published (the first readable date)."""
+def pages(df: DataFrame, link_pattern: str | None = None, url: str = "url", source: str = "html", strict: bool = False) -> DataFrame:
+    """df without its html, with title, text, links, dates, next_url, feeds and published (the first readable date). strict: see html.parsed()."""
 
     @F.pandas_udf(PAGE)
     def read(urls: pd.Series, bodies: pd.Series) -> pd.DataFrame:
         rows = []
         for address, body in zip(urls, bodies):
             base = address or ""
-            page = html.parsed(body)
+            page = html.parsed(body, strict)
             rows.append((html.article_title(page), html.article_text(page), html.links(page, base, link_pattern), html.date_candidates(page), html.next_page(page, base), html.feeds(page, base)))
         return pd.DataFrame(rows, columns=["title", "text", "links", "dates", "next_url", "feeds"])
 
